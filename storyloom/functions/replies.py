@@ -18,7 +18,7 @@ from storyloom.constants import (
     IMPORTANCE_RANGE,
     THEMES,
 )
-from storyloom.functions.text import evidence_in, is_blank, strip
+from storyloom.functions.text import as_col, fold, is_blank, strip
 
 _WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 
@@ -27,20 +27,18 @@ def field(item: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(item, f"$.{path}", kind)
 
 
-def json_type(value: Column) -> Column:
-    """Type of a VARIANT: OBJECT, ARRAY, STRING, BOOLEAN, NUMBER, VOID; null if absent."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(F.startswith(schema, F.lit("OBJECT")), F.lit("OBJECT"))
-        .when(F.startswith(schema, F.lit("ARRAY")), F.lit("ARRAY"))
-        .when(F.startswith(schema, F.lit("DECIMAL")), F.lit("NUMBER"))
-        .when(schema.isin("BIGINT", "DOUBLE", "FLOAT"), F.lit("NUMBER"))
-        .otherwise(schema)
-    )
+_TYPES = {
+    "OBJECT": "^OBJECT",
+    "ARRAY": "^ARRAY",
+    "STRING": "^STRING$",
+    "BOOLEAN": "^BOOLEAN$",
+    "NUMBER": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)",
+}
 
 
 def is_type(value: Column, kind: str) -> Column:
-    return F.coalesce(json_type(value) == kind, F.lit(False))
+    """Whether a VARIANT holds the given kind of JSON value; false when it is absent."""
+    return F.coalesce(F.schema_of_variant(value).rlike(_TYPES[kind]), F.lit(False))
 
 
 def string_field(item: Column, name: str) -> Column:
@@ -103,17 +101,27 @@ def claim_entities(item: Column) -> Column:
     )
 
 
-def claim_reject_reason(
-    item: Column, content: Column, claim_types: list[str] = CLAIM_TYPES
-) -> Column:
-    """First rule a proposed claim breaks; null for a claim to keep."""
-    span = string_field(item, "evidence_span")
+def claim_fields(item: Column) -> list[Column]:
+    """The fields of a proposed claim, each as a column of its own."""
+    return [
+        is_type(item, "OBJECT").alias("is_object"),
+        string_field(item, "claim_text").alias("claim_text"),
+        string_field(item, "claim_type").alias("claim_type"),
+        claim_entities(item).alias("entities"),
+        string_field(item, "evidence_span").alias("evidence_span"),
+        claim_confidence(item).alias("confidence"),
+    ]
+
+
+def claim_reject_reason(folded_content: Column | str, claim_types: list[str] = CLAIM_TYPES) -> Column:
+    """First rule the ``claim_fields`` of a row break; null for a claim to keep."""
+    span = fold("evidence_span")
     return (
-        F.when(~is_type(item, "OBJECT"), F.lit("not_an_object"))
-        .when(string_field(item, "claim_text") == "", F.lit("empty_text"))
-        .when(~string_field(item, "claim_type").isin(claim_types), F.lit("unknown_type"))
-        .when(claim_entities(item).isNull(), F.lit("bad_entities"))
+        F.when(~F.col("is_object"), F.lit("not_an_object"))
+        .when(F.col("claim_text") == "", F.lit("empty_text"))
+        .when(~F.col("claim_type").isin(claim_types), F.lit("unknown_type"))
+        .when(F.col("entities").isNull(), F.lit("bad_entities"))
         .when(span == "", F.lit("empty_evidence"))
-        .when(~evidence_in(span, content), F.lit("ungrounded_evidence"))
-        .when(claim_confidence(item).isNull(), F.lit("bad_confidence"))
+        .when(~F.contains(as_col(folded_content), span), F.lit("ungrounded_evidence"))
+        .when(F.col("confidence").isNull(), F.lit("bad_confidence"))
     )

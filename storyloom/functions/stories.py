@@ -59,11 +59,15 @@ def score(
     )
 
 
+def interest_text(*texts: Column | str) -> Column:
+    return F.lower(F.concat_ws(" ", *[text_or_empty(t) for t in texts]))
+
+
 def mentions_low_interest(
-    *texts: Column | str, keywords: list[str] = LOW_INTEREST_KEYWORDS
+    text: Column | str, keywords: list[str] = LOW_INTEREST_KEYWORDS
 ) -> Column:
-    joined = F.lower(F.concat_ws(" ", *[text_or_empty(t) for t in texts]))
-    return contains_any(joined, keywords)
+    """Plain substring test on an ``interest_text`` column."""
+    return contains_any(as_col(text), keywords)
 
 
 def is_lead() -> Column:

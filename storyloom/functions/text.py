@@ -9,10 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space plus the four separator controls.
-SPACE = (
-    r"[\t\n\x0B\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE_CHARS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+_NOT_BLANK_CHAR = (
+    r"\t\n\x0B\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+SPACE = f"[ {_NOT_BLANK_CHAR}]"
+# What has to change to get single blanks: longer runs, and other white space.
+_UNEVEN_SPACE = f"{SPACE}{{2,}}|[{_NOT_BLANK_CHAR}]"
 
 
 def as_col(value: Column | str) -> Column:
@@ -25,7 +32,7 @@ def text_or_empty(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Drop white space of any kind at both ends (``trim`` drops spaces only)."""
-    return F.regexp_replace(as_col(value), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(as_col(value), F.lit(SPACE_CHARS))
 
 
 def clean(value: Column | str) -> Column:
@@ -42,9 +49,7 @@ def non_blank(value: Column | str) -> Column:
 
 
 def collapse_spaces(value: Column | str) -> Column:
-    return F.regexp_replace(
-        F.regexp_replace(text_or_empty(value), f"{SPACE}+", " "), "^ | $", ""
-    )
+    return F.trim(F.regexp_replace(text_or_empty(value), _UNEVEN_SPACE, " "))
 
 
 def fold(value: Column | str) -> Column:
@@ -79,6 +84,5 @@ def evidence_in(span: Column | str, content: Column | str) -> Column:
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
-    if not phrases:
-        return F.lit(False)
-    return reduce(or_, [F.contains(text, F.lit(p)) for p in phrases])
+    """Whether any phrase occurs; give a stored column, the text is read per phrase."""
+    return reduce(or_, [F.contains(text, F.lit(p)) for p in phrases], F.lit(False))

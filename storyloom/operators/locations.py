@@ -22,17 +22,25 @@ ARTICLE_WEIGHT = 1
 
 def _alias_evidence(articles: DataFrame, gazetteer) -> DataFrame:
     """(story, alias, in_label, in_article) once per story and alias found."""
-    text = article_place_text(F.col("title"), F.col("description"))
-    in_articles = articles.select(
-        "canonical_label",
-        F.explode(alias_hits(text, gazetteer)).alias("alias"),
-        F.lit(0).alias("in_label"),
-        F.lit(1).alias("in_article"),
+    # The folded text is a column of its own, so it is made once and not per alias.
+    in_articles = (
+        articles.select(
+            "canonical_label", article_place_text(F.col("title"), F.col("description")).alias("_text")
+        )
+        .select(
+            "canonical_label",
+            F.explode(alias_hits(F.col("_text"), gazetteer)).alias("alias"),
+            F.lit(0).alias("in_label"),
+            F.lit(1).alias("in_article"),
+        )
     )
     in_labels = (
-        articles.select("canonical_label").distinct().select(
+        articles.select("canonical_label")
+        .distinct()
+        .select("canonical_label", fold("canonical_label").alias("_text"))
+        .select(
             "canonical_label",
-            F.explode(alias_hits(fold("canonical_label"), gazetteer)).alias("alias"),
+            F.explode(alias_hits(F.col("_text"), gazetteer)).alias("alias"),
             F.lit(1).alias("in_label"),
             F.lit(0).alias("in_article"),
         )
@@ -111,9 +119,12 @@ def story_locations(
             "_ranked"
         )
     )
-    text = article_place_text(F.col("title"), F.col("description"))
+    text = F.col("_text")
     label = fold("canonical_label")
-    stories = articles.groupBy("canonical_label").agg(
+    stories = articles.select(
+        "canonical_label", "theme",
+        article_place_text(F.col("title"), F.col("description")).alias("_text"),
+    ).groupBy("canonical_label").agg(
         F.bool_or(mentions_global(text, keywords)).alias("_in_articles"),
         F.bool_or(text != "").alias("_texts"),
         F.bool_or(F.col("theme") == "Economy").alias("_economy"),

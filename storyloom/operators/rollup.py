@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.constants import DEFAULT_THEME, LOW_INTEREST_KEYWORDS, THEMES
-from storyloom.functions.stories import mentions_low_interest, score
+from storyloom.functions.stories import interest_text, mentions_low_interest, score
 from storyloom.operators.ranking import top_per_group
 
 
@@ -53,14 +53,14 @@ def story_rollup(
     distinct sources included, is combined map-side first.
     """
     order = F.col("ordinal") if order is None else order
-    hit = mentions_low_interest("canonical_label", "title", "description", keywords=keywords)
-    prepared = tracked.select(
+    words = interest_text("canonical_label", "title", "description")
+    prepared = tracked.withColumn("_words", words).select(
         "canonical_label",
         "source",
         "importance",
         F.when(F.col("theme").isin(themes), F.col("theme")).otherwise(DEFAULT_THEME).alias("_theme"),
         "reported_ts",
-        hit.alias("_hit"),
+        mentions_low_interest("_words", keywords).alias("_hit"),
         order.alias("_order"),
         F.struct("trend", "story_id").alias("_first"),
         "previous_context",

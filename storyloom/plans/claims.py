@@ -8,13 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.constants import CLAIM_VERSION
-from storyloom.functions.replies import (
-    claim_confidence,
-    claim_entities,
-    claim_reject_reason,
-    string_field,
-)
-from storyloom.functions.text import claim_input, claim_input_hash
+from storyloom.functions.replies import claim_fields, claim_reject_reason
+from storyloom.functions.text import claim_input, claim_input_hash, fold
 from storyloom.operators.ranking import top_per_group
 from storyloom.sources.replies import claim_replies, replied_articles
 from storyloom.sources.state import StateStore
@@ -78,26 +73,25 @@ def split_cached(inputs: DataFrame, extractions: DataFrame, version: str) -> Dat
 
 
 def judge_claims(misses: DataFrame, replies: DataFrame, version: str = CLAIM_VERSION) -> DataFrame:
-    """Every proposed claim with its fields and ``reject_reason`` (null to keep)."""
-    item = F.col("item")
-    return (
-        claim_replies(replies)
-        .join(misses.select("article_id", "story_id", "content"), "article_id")
-        .select(
-            F.concat_ws(":", "article_id", F.lpad(F.col("claim_pos").cast("string"), 19, "0")).alias(
-                "claim_id"
-            ),
-            "article_id",
-            "story_id",
-            "claim_pos",
-            string_field(item, "claim_text").alias("claim_text"),
-            string_field(item, "claim_type").alias("claim_type"),
-            claim_entities(item).alias("entities"),
-            string_field(item, "evidence_span").alias("evidence_span"),
-            claim_confidence(item).alias("confidence"),
-            F.lit(version).alias("version"),
-            claim_reject_reason(item, F.col("content")).alias("reject_reason"),
-        )
+    """Every proposed claim with its fields and ``reject_reason`` (null to keep).
+
+    Contents are folded once per article, before they meet their claims.
+    """
+    contents = misses.select("article_id", "story_id", fold("content").alias("_folded"))
+    fields = claim_replies(replies).select("article_id", "claim_pos", *claim_fields(F.col("item")))
+    claim_id = F.concat_ws(":", "article_id", F.lpad(F.col("claim_pos").cast("string"), 19, "0"))
+    return fields.join(contents, "article_id").select(
+        claim_id.alias("claim_id"),
+        "article_id",
+        "story_id",
+        "claim_pos",
+        "claim_text",
+        "claim_type",
+        "entities",
+        "evidence_span",
+        "confidence",
+        F.lit(version).alias("version"),
+        claim_reject_reason("_folded").alias("reject_reason"),
     )
 
 

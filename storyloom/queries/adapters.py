@@ -31,8 +31,26 @@ PHRASES = [
 ]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Row keys of the tables whose rows take real work (regular expressions, place search).
+_ROW_KEYS = {"events": "event_id", "documents": "doc_id", "pages": "page_id"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table.
+
+    With ``spread`` a file too small to be read in one split per core is spread
+    over the cores before the work on its rows starts; larger inputs come in
+    enough splits and are left alone.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and _splits(rows) < cores:
+        return rows.repartition(cores, _ROW_KEYS[name])
+    return rows
+
+
+def _splits(rows: DataFrame) -> int:
+    return rows.select(rows.columns[0]).rdd.getNumPartitions()
 
 
 def _lookup(index: Column, values: list[str]) -> Column:
@@ -43,14 +61,14 @@ def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Events as labeled articles."""
     event = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
     mail_date = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     day = F.col("ts").cast("date")
     topic = F.when(k % 29 == 0, F.lit("celebrity video ")).otherwise(F.lit("report "))
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", spread).select(
         event.alias("id"),
         event.alias("ordinal"),
         F.col("event_type").alias("source"),
@@ -114,8 +132,8 @@ def article_days(rows: DataFrame) -> DataFrame:
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as tracked articles: a story per user and day with trend and context."""
-    rows = articles(spark, sf_dir)
-    days = article_days(rows)
+    rows = articles(spark, sf_dir, spread=True)
+    days = article_days(articles(spark, sf_dir))
     summary = F.concat(
         F.lit("Previously: coverage came from "), F.col("previous_count").cast("string"),
         F.lit(" sources. More is expected."),
@@ -215,9 +233,9 @@ observations AS (
 )"""
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Documents as articles: the first 80 characters are the title."""
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread).select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("doc_id").alias("ordinal"),
         "source",

@@ -23,7 +23,7 @@ from storyloom.queries.registry import query
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.texts(spark, sf_dir).withColumn("story_id", F.col("ordinal") % 50)
+    return a.texts(spark, sf_dir, spread=True).withColumn("story_id", F.col("ordinal") % 50)
 
 
 def _json_text(name: str, value: Column) -> Column:
@@ -37,7 +37,7 @@ def claim_reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Documents with an id divisible by 20 get no usable reply.
     """
-    docs = a.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = a.table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     items = a.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("doc_id"), F.col("text").alias("passage")
     )
@@ -151,7 +151,7 @@ def _stored_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     doc = F.col("doc_id")
     return (
-        a.texts(spark, sf_dir)
+        a.texts(spark, sf_dir, spread=True)
         .join(marks, "id")
         .withColumn("content", claim_input("title", "description"))
         .select(

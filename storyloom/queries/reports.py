@@ -14,19 +14,22 @@ from storyloom.constants import (
     TREND_ICONS,
     TREND_WORDS,
 )
-from storyloom.functions.render import one_decimal
+from storyloom.functions.render import one_decimal, source_summary
+from storyloom.functions.stories import theme_summary
 from storyloom.operators import rollup as roll
 from storyloom.operators.locations import place_scores as score_places
 from storyloom.operators.locations import story_locations
 from storyloom.operators.sections import edition_sections as regroup
 from storyloom.operators.sections import lead_stories as leads
 from storyloom.plans import briefing as brief
+from storyloom.plans.digest import LINE_ORDER as DIGEST_ORDER
 from storyloom.plans.digest import digest_lines as lines_of_digest
 from storyloom.plans.digest import digest_stories as stories_of_digest
 from storyloom.plans.edition import edition_counts as count_sections
 from storyloom.plans.edition import edition_rows as rows_of_edition
 from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
+from storyloom.session import cut
 
 _STAMP = "2024-01-31 06:00"
 _GLOBAL_N = 10
@@ -149,9 +152,9 @@ def _replies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = _sections(spark, sf_dir)
+    picked = cut(_sections(spark, sf_dir))
     labels = a.articles(spark, sf_dir).select("canonical_label", "story_id").distinct()
-    return brief.fill_texts(picked, *_replies(labels))
+    return cut(brief.fill_texts(picked, *_replies(labels)))
 
 
 @query(f"""
@@ -230,8 +233,6 @@ FROM ranked GROUP BY story_label
 """)
 def source_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most frequent sources of every story label."""
-    from storyloom.functions.render import source_summary
-
     rows = roll.top_sources(a.articles(spark, sf_dir), ["story_label"], 3)
     return rows.select("story_label", source_summary("top_sources", "distinct_sources", 3).alias("sources"))
 
@@ -244,8 +245,6 @@ FROM filled
 """)
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Displayed stories with their texts, made up where no reply has one."""
-    from storyloom.functions.stories import theme_summary
-
     rows = _filled(spark, sf_dir)
     return rows.select(
         F.col("section_rank").cast("bigint").alias("section_rank"),
@@ -344,10 +343,8 @@ FROM every
 """)
 def digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of all articles as lines with their place in the reading order."""
-    from storyloom.plans.digest import LINE_ORDER
-
     rows = lines_of_digest(a.tracked(spark, sf_dir), _STAMP)
-    return rows.select(*[F.col(c).cast("bigint").alias(c) for c in LINE_ORDER], "line")
+    return rows.select(*[F.col(c).cast("bigint").alias(c) for c in DIGEST_ORDER], "line")
 
 
 def _sql_aliases(gazetteer) -> str:
@@ -425,7 +422,7 @@ SELECT canonical_label, CAST(place_rank AS BIGINT) AS place_rank, label, scope,
 """)
 def place_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places mentioned by the stories of the events, with their scores."""
-    rows = score_places(a.articles(spark, sf_dir))
+    rows = score_places(a.articles(spark, sf_dir, spread=True))
     return rows.select(
         "canonical_label", F.col("place_rank").cast("bigint").alias("place_rank"), "label", "scope", "score"
     )
@@ -443,7 +440,7 @@ TEXT_PLACES = [
 
 def _text_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.concat("source", F.lit(" "), "language", F.lit(" "), (F.col("ordinal") % 7).cast("string"))
-    return a.texts(spark, sf_dir).withColumn("canonical_label", label).withColumn("theme", F.lit("Tech"))
+    return a.texts(spark, sf_dir, spread=True).withColumn("canonical_label", label).withColumn("theme", F.lit("Tech"))
 
 
 _TEXT_STORIES = f"""{a.TEXTS},
@@ -471,7 +468,7 @@ SELECT canonical_label, scope, label, confidence, CAST(points AS BIGINT) AS poin
 """)
 def story_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location of every story of the events."""
-    rows = story_locations(a.articles(spark, sf_dir))
+    rows = story_locations(a.articles(spark, sf_dir, spread=True))
     return rows.select(
         "canonical_label", "location.scope", "location.label", "location.confidence",
         F.size("location.points").cast("bigint").alias("points"),
@@ -520,7 +517,7 @@ FROM shown
 """)
 def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Briefing requests of the displayed stories."""
-    rows = brief.briefing_requests(a.tracked(spark, sf_dir), _sections(spark, sf_dir))
+    rows = brief.briefing_requests(a.tracked(spark, sf_dir), cut(_sections(spark, sf_dir)))
     return rows.select(
         "canonical_label", F.col("part").cast("int").alias("part"),
         F.col("articles").cast("bigint").alias("articles"), F.sha2("request", 256).alias("request_hash"),
