@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.constants import SKIP_TAGS
 from storyloom.functions.markup import main_text
@@ -78,7 +79,7 @@ def page_text(pages: DataFrame, nested: bool = False, skip_tags: list[str] = SKI
         return pages.withColumn("text", main_text("html", skip_tags)).drop("html")
     skip = set(skip_tags)
     kept = [f for f in pages.schema.fields if f.name != "html"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string"
+    schema = T.StructType([*kept, T.StructField("text", T.StringType())])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
