@@ -10,7 +10,7 @@ from storyloom.functions.text import clean, text_or_empty
 
 
 def _words(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return F.split(F.lit(" ".join(values)), " ")
 
 
 def label_tokens(label: Column | str, aliases: dict[str, str] = LABEL_TOKEN_ALIASES) -> Column:
