@@ -45,9 +45,13 @@ def story_rollup(
     order: Column | None = None,
     themes: list[str] = THEMES,
     keywords: list[str] = LOW_INTEREST_KEYWORDS,
+    contexts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per story; the story's articles are never gathered into a row.
 
+    The context of a story is taken from its first article that has one, or from
+    ``contexts`` (canonical_label, previous_context) when articles do not carry it.
+
     ``themes`` is the closed list labels are validated against, so theme totals
     are plain conditional sums next to the other aggregates and everything,
     distinct sources included, is combined map-side first.
@@ -63,7 +67,7 @@ def story_rollup(
         mentions_low_interest("_words", keywords).alias("_hit"),
         order.alias("_order"),
         F.struct("trend", "story_id").alias("_first"),
-        "previous_context",
+        *([] if contexts is not None else ["previous_context"]),
         F.struct("source", "title").alias("_lead"),
         F.col("published_at").alias("_raw"),
         F.when(F.col("observation_id") != 0, F.col("observation_id")).alias("_observation"),
@@ -71,13 +75,13 @@ def story_rollup(
     newest_first = F.struct(
         F.col("reported_ts").isNotNull().alias("dated"), F.col("reported_ts").alias("at")
     )
+    context = F.min_by(
+        "previous_context", F.when(F.col("previous_context").isNotNull(), F.col("_order"))
+    ).alias("previous_context")
     grouped = prepared.groupBy("canonical_label").agg(
         F.min("_order").alias("first_ordinal"),
         F.min_by("_first", "_order").alias("_first"),
-        F.min_by(
-            "previous_context",
-            F.when(F.col("previous_context").isNotNull(), F.col("_order")),
-        ).alias("previous_context"),
+        *([] if contexts is not None else [context]),
         F.count_distinct("source").alias("source_count"),
         F.count("*").alias("article_count"),
         F.avg("importance").alias("importance_avg"),
@@ -98,6 +102,8 @@ def story_rollup(
         F.array_sort(F.collect_set("_observation")).alias("observation_ids"),
         *_theme_totals(themes),
     )
+    if contexts is not None:
+        grouped = grouped.join(contexts, "canonical_label", "left")
     return grouped.withColumn("_themes", _theme_rows(themes)).select(
         "canonical_label",
         "first_ordinal",

@@ -32,10 +32,14 @@ LINE_ORDER = ["section_rank", "rank", "block", "undated", "age", "item_order"]
 
 
 def briefing_stories(
-    tracked: DataFrame, n: int = 3, global_n: int = 10, order: Column | None = None
+    tracked: DataFrame,
+    n: int = 3,
+    global_n: int = 10,
+    order: Column | None = None,
+    contexts: DataFrame | None = None,
 ) -> DataFrame:
     """Stories of every section with section_rank and rank; at most a few dozen rows."""
-    return select_sections(with_score(story_rollup(tracked, order)), n, global_n)
+    return select_sections(with_score(story_rollup(tracked, order, contexts=contexts)), n, global_n)
 
 
 def fill_texts(picked: DataFrame, payloads: DataFrame, retry: DataFrame | None = None) -> DataFrame:

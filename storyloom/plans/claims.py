@@ -168,12 +168,19 @@ def save_claims(store: StateStore, run: GroundedClaims, version: str = CLAIM_VER
 
 
 def story_claims(
-    claims: DataFrame, articles: DataFrame, version: str = CLAIM_VERSION
+    claims: DataFrame,
+    articles: DataFrame,
+    version: str = CLAIM_VERSION,
+    stories: DataFrame | None = None,
 ) -> DataFrame:
     """One row per claim with the source, title and url of its article.
 
-    An article stored on several days is described by its latest day.
+    An article stored on several days is described by its latest day. ``stories``
+    (story_id, few rows) limits the work to the stories a report shows.
     """
+    if stories is not None:
+        claims = claims.join(stories, "story_id", "left_semi")
+        articles = articles.join(stories, "story_id", "left_semi")
     described = (
         articles.groupBy(F.col("id").alias("article_id"), "story_id")
         .agg(

@@ -84,7 +84,8 @@ def store_day(
         group_replies(replies.groups),
         match_replies(replies.matches),
     )
-    tracked.articles = cut(tracked.articles)
+    # The context is kept per story; repeated on every article it would be most of the batch.
+    tracked.articles = cut(tracked.articles.drop("previous_context"))
     save_tracking(store, tracked, today)
     if with_claims:
         run = ground_claims(
@@ -122,10 +123,15 @@ def report_day(
         )
     if not (briefing or edition):
         return
-    picked = cut(briefing_plan.briefing_stories(articles, n, order=F.col("track_order")))
+    picked = cut(
+        briefing_plan.briefing_stories(
+            articles, n, order=F.col("track_order"), contexts=tracked.contexts()
+        )
+    )
     claims = None
     if show_evidence:
-        claims = story_claims(store.read("claims"), store.read("articles"))
+        shown = picked.select("story_id")
+        claims = story_claims(store.read("claims"), store.read("articles"), stories=shown)
     ordered = articles.withColumn("_major", F.col("label_order"))
     requests = briefing_plan.briefing_requests(ordered, picked, claims, major="_major")
     write_rows(requests, f"{out}/requests_{stamp}")

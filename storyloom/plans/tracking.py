@@ -48,6 +48,13 @@ class Tracked:
     new_stories: DataFrame
     state: dict[str, DataFrame]
 
+    def contexts(self) -> DataFrame:
+        """(canonical_label, previous_context), from the first group that has one."""
+        known = F.when(F.col("previous_context").isNotNull(), F.col("group_order"))
+        return self.stories.groupBy("canonical_label").agg(
+            F.min_by("previous_context", known).alias("previous_context")
+        )
+
 
 def observation_id(story_id: Column | str, date: Column) -> Column:
     """One id per story and day, increasing with both."""

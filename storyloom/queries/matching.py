@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from storyloom.operators.coverage import recent_stories as find_recent
 from storyloom.operators.ranking import number_rows
-from storyloom.plans.tracking import match_groups, stories_by_label
+from storyloom.plans.tracking import History, match_groups, stories_by_label, track
 from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
+from storyloom.sources.replies import group_replies as read_groups
+from storyloom.sources.replies import match_replies as read_matches
 
 _TODAY = "1998-06-01"
 
@@ -99,3 +101,145 @@ def new_story_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     numbered = number_rows(labels, [F.col("first_ordinal")])
     return numbered.select("canonical_label", (F.col("position") + 1000).alias("story_id"))
+
+
+_RUN_DATE = "2024-01-30"
+
+# Users with an odd id are stories of their own label; those with an even id were stories
+# of another label, and every third of them is proposed to continue the next user's story.
+_DAY = f"""{a.ART}, {a.ART_DAILY},
+batch AS (SELECT * FROM art WHERE date = DATE '{_RUN_DATE}'),
+past AS (SELECT * FROM art WHERE date < DATE '{_RUN_DATE}'),
+seen AS (
+  SELECT story_id, min(date) AS first_seen, max(date) AS last_seen FROM past GROUP BY story_id
+),
+groups AS (
+  SELECT story_label, story_id AS user_id, min(ordinal) AS first_ordinal,
+         count(DISTINCT source) AS source_count, count(*) AS article_count,
+         avg(importance) AS importance_avg
+  FROM batch GROUP BY ALL
+),
+resolved AS (
+  SELECT g.*, CASE WHEN g.user_id % 2 = 0 AND g.user_id % 3 = 0
+                    AND m.last_seen >= DATE '{_RUN_DATE}' - 14 THEN m.story_id
+                   WHEN s.last_seen >= DATE '{_RUN_DATE}' - 14 THEN s.story_id END AS known_id,
+         g.user_id % 2 = 0 AND g.user_id % 3 = 0
+           AND m.last_seen >= DATE '{_RUN_DATE}' - 14 IS TRUE AS matched
+  FROM groups g
+  LEFT JOIN seen s ON s.story_id = g.user_id AND g.user_id % 2 = 1
+  LEFT JOIN seen m ON m.story_id = g.user_id + 1
+),
+numbered AS (
+  SELECT *, coalesce(known_id, (SELECT max(story_id) FROM seen)
+           + row_number() OVER (PARTITION BY known_id IS NULL ORDER BY first_ordinal)) AS new_id
+  FROM resolved
+),
+before AS (
+  SELECT story_id, count(DISTINCT source) AS previous_count, date FROM past GROUP BY story_id, date
+  QUALIFY row_number() OVER (PARTITION BY story_id ORDER BY date DESC) = 1
+)"""
+
+
+@query(f"""
+WITH {_DAY}
+SELECT b.id, n.new_id AS story_id,
+       CASE WHEN n.matched THEN 'user ' || (n.user_id + 1) ELSE n.story_label END AS canonical_label,
+       CASE WHEN p.previous_count IS NULL THEN 'new' WHEN n.source_count - p.previous_count > 1 THEN 'up'
+            WHEN n.source_count - p.previous_count < -1 THEN 'down' ELSE 'steady' END AS trend,
+       n.source_count, round(n.importance_avg, 6) AS importance_avg,
+       coalesce((SELECT string_agg(q.title, '; ' ORDER BY q.rank) FROM (
+          SELECT title, story_id, row_number() OVER (PARTITION BY story_id
+                 ORDER BY date DESC, published_at DESC, CAST(id AS VARCHAR)) AS rank FROM past) q
+        WHERE q.story_id = n.new_id AND q.rank <= 3), '') AS recent
+FROM batch b JOIN numbered n USING (story_label)
+LEFT JOIN before p ON p.story_id = n.new_id
+""")
+def track_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One whole tracking run: the last day's articles against all days before it."""
+    rows = a.articles(spark, sf_dir)
+    day = F.lit(_RUN_DATE).cast("date")
+    user = F.col("story_id")
+    past = rows.filter(F.col("date") < day)
+    label = F.when(user % 2 == 1, F.col("story_label")).otherwise(F.concat(F.lit("former "), "story_label"))
+    observed = past.select("story_id", "date", F.lit("").alias("summary"), F.lit(None).cast("string").alias("delta_summary"))
+    history = History(
+        past.select("story_id", label.alias("canonical_label")).distinct(),
+        past.groupBy("story_id", "date").agg(F.count_distinct("source").alias("source_count")),
+        observed.distinct(),
+        past.withColumn("id", F.col("id").cast("string")),
+    )
+    following = F.concat(F.lit("user "), (user + 1).cast("string"))
+    matches = rows.select(
+        F.col("story_label").alias("today_label"),
+        F.when(user % 6 == 0, following).otherwise(F.lit("NEW")).alias("canonical_label"),
+    ).distinct()
+    batch = rows.filter(F.col("date") == day).withColumn("text", F.lit("")).drop(
+        "story_id", "canonical_label", "date"
+    )
+    out = track(batch, history, _RUN_DATE, matches=matches)
+    return _tracked_rows(out)
+
+
+def _tracked_rows(out) -> DataFrame:
+    metrics = out.stories.select("group_label", "source_count", "importance_avg")
+    context = F.coalesce(F.col("previous_context.recent_articles"), F.array())
+    return out.articles.join(metrics, "group_label").select(
+        "id", "story_id", "canonical_label", "trend", "source_count",
+        F.round("importance_avg", 6).alias("importance_avg"),
+        F.array_join(F.transform(context, lambda r: r["title"]), "; ").alias("recent"),
+    )
+
+
+def _label_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part numbers with their names, 40 to a reply."""
+    return a.table(spark, sf_dir, "part").select(
+        "p_partkey", "p_name", "p_brand", F.floor(F.col("p_partkey") / 40).alias("reply_no")
+    )
+
+
+def _reply_of(rows: DataFrame, name: str, element: Column) -> DataFrame:
+    """One reply per 40 parts, holding their elements in order."""
+    ordered = F.sort_array(F.collect_list(F.struct("p_partkey", element.alias("e"))))
+    listed = F.array_join(F.transform(ordered, lambda r: r["e"]), ",")
+    return rows.groupBy("reply_no").agg(
+        F.concat(F.lit(f'{{"{name}":['), listed, F.lit("]}")).alias("reply")
+    )
+
+
+@query("""
+SELECT trim(p_name) AS canonical_label, p_brand AS labels, count(*) AS proposals
+FROM part WHERE p_partkey % 5 <> 1 AND p_partkey % 5 <> 2
+GROUP BY ALL
+""")
+def group_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group proposals read from replies; nameless ones and ones without a list are left out."""
+    key = F.col("p_partkey")
+    element = (
+        F.when(key % 5 == 1, F.lit('{"canonical_label":" ","labels":["x"]}'))
+        .when(key % 5 == 2, F.lit('{"canonical_label":"x","labels":"x"}'))
+        .otherwise(
+            F.concat(
+                F.lit('{"canonical_label":" '), "p_name", F.lit('","labels":["'), "p_brand",
+                F.lit('",5,null]}'),
+            )
+        )
+    )
+    rows = read_groups(_reply_of(_label_elements(spark, sf_dir), "groups", element))
+    return rows.groupBy("canonical_label", F.array_join("labels", "|").alias("labels")).agg(
+        F.count("*").alias("proposals")
+    )
+
+
+@query("""
+SELECT p_name AS today_label, arg_max(p_brand, p_partkey) AS canonical_label
+FROM part WHERE p_partkey % 4 <> 3 GROUP BY p_name
+""")
+def match_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match proposals read from replies; the last one for a label counts."""
+    key = F.col("p_partkey")
+    element = F.when(key % 4 == 3, F.lit('{"today_label":7,"canonical_label":"x"}')).otherwise(
+        F.concat(
+            F.lit('{"today_label":"'), "p_name", F.lit('","canonical_label":"'), "p_brand", F.lit('"}')
+        )
+    )
+    return read_matches(_reply_of(_label_elements(spark, sf_dir), "matches", element))

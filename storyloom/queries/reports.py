@@ -137,15 +137,16 @@ def _replies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First and retry payloads for the given stories."""
     user = F.col("story_id")
     delta = F.when(user % 3 == 0, F.concat(F.lit("Delta "), user.cast("string"))).otherwise(F.lit(" "))
-    first = rows.filter(user % 4 < 2).select(
+    first = rows.select(
         "canonical_label",
         F.when(user % 4 == 0, F.concat(F.lit(" Briefing of "), "canonical_label"))
         .otherwise(F.lit("\n")).alias("briefing"),
-        delta.alias("delta_summary"),
+        F.when(user % 4 < 2, delta).alias("delta_summary"),
     )
-    retry = rows.filter(user % 4 == 1).select(
+    second = F.concat(F.lit("Second briefing of "), "canonical_label")
+    retry = rows.select(
         "canonical_label",
-        F.concat(F.lit("Second briefing of "), "canonical_label").alias("briefing"),
+        F.when(user % 4 == 1, second).otherwise(F.lit("")).alias("briefing"),
         F.lit("").alias("delta_summary"),
     )
     return first, retry

@@ -72,7 +72,7 @@ def memory_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
         "observation_id", F.col("story_id") * 100_000 + day_number
     )
     key = F.col("observation_id")
-    memories = observations.filter(key % 3 < 2).select(
+    memories = observations.select(
         "observation_id",
         F.when(key % 3 == 0, F.concat(F.lit(" note "), key.cast("string"))).alias("summary"),
         F.when((key % 3 == 1) & (key % 2 == 0), F.lit("turn\n")).alias("delta_summary"),

@@ -13,6 +13,10 @@ JOB_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key in a join even where that costs another shuffle later.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Keep hash aggregation for more groups per task before it falls back to sorting.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

@@ -91,9 +91,8 @@ def page_text(pages: DataFrame, nested: bool = False, skip_tags: list[str] = SKI
 
 def attach_text(articles: DataFrame, pages: DataFrame, nested: bool = False) -> DataFrame:
     """Article text from its landed page; empty where no page was landed."""
-    texts = page_text(pages.select("url", "html"), nested).groupBy("url").agg(
-        F.max("text").alias("text")
-    )
+    wanted = pages.select("url", "html").join(articles.select("url"), "url", "left_semi")
+    texts = page_text(wanted, nested).groupBy("url").agg(F.max("text").alias("text"))
     return articles.drop("text").join(texts, "url", "left").withColumn(
         "text", F.coalesce("text", F.lit(""))
     )

@@ -101,7 +101,8 @@ class StateStore:
         kept = current.join(gone.drop("bucket"), keys, "left_anti")
         after = cut(kept.unionByName(changes, allowMissingColumns=True))
         left = {r["bucket"] for r in after.select("bucket").distinct().collect()}
-        self._write(name, after.repartition("bucket"), "overwrite")
+        # Few files per bucket, but a bucket may be split when it is large.
+        self._write(name, after.hint("rebalance", "bucket"), "overwrite")
         if self._exists(name):
             for bucket in set(touched) - left:
                 self._drop_partition(name, f"bucket={bucket}")
