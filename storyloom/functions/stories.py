@@ -46,6 +46,18 @@ def trend(count: Column | str, previous: Column | str) -> Column:
     )
 
 
+_TRENDS = ["new", "up", "steady", "down"]
+
+
+def trend_code(trend_label: Column | str = "trend") -> Column:
+    """Trend as a small number; null for anything else."""
+    return choose(trend_label, {name: i for i, name in enumerate(_TRENDS)})
+
+
+def trend_name(code: Column | str) -> Column:
+    return choose(code, {i: name for i, name in enumerate(_TRENDS)})
+
+
 def score(
     importance: Column | str = "importance_avg",
     sources: Column | str = "source_count",

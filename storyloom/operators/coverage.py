@@ -19,12 +19,26 @@ from storyloom.operators.ranking import top_per_group
 _ARTICLE_FIELDS = ["date", "source", "title", "description", "url", "reported_at"]
 
 
-def daily_coverage(articles: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct sources, articles and mean importance per key."""
-    return articles.groupBy(*keys).agg(
-        F.count_distinct("source").alias("source_count"),
-        F.count("*").alias("article_count"),
-        F.avg("importance").alias("importance_avg"),
+def daily_coverage(
+    articles: DataFrame, keys: list[str], co_locate: str | None = None
+) -> DataFrame:
+    """Distinct sources, articles and mean importance per key.
+
+    Counted per source first, which map tasks combine. ``co_locate`` names a key
+    that a later step partitions by: the few rows left are then shuffled by that
+    key once, for the totals and the later step together.
+    """
+    per_source = articles.groupBy(*keys, "source").agg(
+        F.count("*").alias("_articles"),
+        F.sum("importance").alias("_importance"),
+        F.count("importance").alias("_rated"),
+    )
+    if co_locate is not None:
+        per_source = per_source.repartition(co_locate)
+    return per_source.groupBy(*keys).agg(
+        F.count("source").alias("source_count"),
+        F.sum("_articles").alias("article_count"),
+        (F.sum("_importance") / F.sum("_rated")).alias("importance_avg"),
     )
 
 

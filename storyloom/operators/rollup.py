@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.constants import DEFAULT_THEME, LOW_INTEREST_KEYWORDS, THEMES
-from storyloom.functions.stories import interest_text, mentions_low_interest, score
+from storyloom.functions.stories import (
+    interest_text,
+    mentions_low_interest,
+    score,
+    trend_code,
+    trend_name,
+)
 from storyloom.operators.ranking import top_per_group
 
 
@@ -123,6 +129,69 @@ def story_rollup(
     )
 
 
+def story_metrics(
+    tracked: DataFrame,
+    order: Column | None = None,
+    themes: list[str] = THEMES,
+    keywords: list[str] = LOW_INTEREST_KEYWORDS,
+) -> DataFrame:
+    """What ranking and sectioning need, for every story.
+
+    All of it is numbers and times, so with a numeric ``order`` the aggregation
+    is a compiled hash aggregation and texts of articles are not shuffled.
+    ``story_details`` adds the rest for the stories that are shown.
+    """
+    order = F.col("ordinal") if order is None else order
+    words = interest_text("canonical_label", "title", "description")
+    theme = F.when(F.col("theme").isin(themes), F.col("theme")).otherwise(DEFAULT_THEME)
+    prepared = tracked.withColumn("_words", words).select(
+        "canonical_label",
+        "source",
+        "importance",
+        theme.alias("_theme"),
+        "reported_ts",
+        mentions_low_interest("_words", keywords).alias("_hit"),
+        order.alias("_order"),
+        trend_code("trend").alias("_trend"),
+    )
+    grouped = prepared.groupBy("canonical_label").agg(
+        F.min("_order").alias("first_ordinal"),
+        F.min_by("_trend", "_order").alias("_trend"),
+        F.count_distinct("source").alias("source_count"),
+        F.count("*").alias("article_count"),
+        F.avg("importance").alias("importance_avg"),
+        F.max("reported_ts").alias("latest_reported"),
+        F.bool_or("_hit").alias("low_interest"),
+        *_theme_totals(themes),
+    )
+    return grouped.withColumn("_themes", _theme_rows(themes)).select(
+        "canonical_label",
+        "first_ordinal",
+        F.array_max("_themes")["theme"].alias("theme"),
+        F.array_sort(F.transform("_themes", lambda r: r["theme"])).alias("themes"),
+        trend_name("_trend").alias("trend"),
+        "source_count",
+        "article_count",
+        "importance_avg",
+        "latest_reported",
+        "low_interest",
+    )
+
+
+def story_details(
+    tracked: DataFrame,
+    shown: DataFrame,
+    order: Column | None = None,
+    contexts: DataFrame | None = None,
+) -> DataFrame:
+    """``shown`` stories (few, see ``select_sections``) with the texts of the rollup."""
+    labels = F.broadcast(shown.select("canonical_label").distinct())
+    articles = tracked.join(labels, "canonical_label", "left_semi")
+    details = story_rollup(articles, order, contexts=contexts)
+    known = [c for c in shown.columns if c not in ("canonical_label", "trend")]
+    return shown.drop("trend").join(details.drop(*known), "canonical_label")
+
+
 def with_score(stories: DataFrame) -> DataFrame:
     return stories.withColumn("score", score())
 

@@ -18,10 +18,11 @@ from storyloom.functions.render import (
 from storyloom.functions.stories import choose
 from storyloom.functions.text import is_blank, non_blank
 from storyloom.operators.ranking import positions, top_per_group
-from storyloom.operators.rollup import story_rollup, with_score
+from storyloom.operators.rollup import story_details, story_metrics, with_score
 from storyloom.operators.sections import first_shown, select_sections
 from storyloom.operators.tables import merge_payloads
 from storyloom.plans.claims import attribute_claims, best_claims
+from storyloom.session import cut
 
 SHOWN_CLAIMS = 8
 REQUESTED_CLAIMS = 12
@@ -38,8 +39,13 @@ def briefing_stories(
     order: Column | None = None,
     contexts: DataFrame | None = None,
 ) -> DataFrame:
-    """Stories of every section with section_rank and rank; at most a few dozen rows."""
-    return select_sections(with_score(story_rollup(tracked, order, contexts=contexts)), n, global_n)
+    """Stories of every section with section_rank and rank; at most a few dozen rows.
+
+    The selection is written down before the texts of the selected stories are
+    looked up, so that the ranking of all stories runs once.
+    """
+    picked = cut(select_sections(with_score(story_metrics(tracked, order)), n, global_n))
+    return story_details(tracked, picked, order, contexts)
 
 
 def fill_texts(picked: DataFrame, payloads: DataFrame, retry: DataFrame | None = None) -> DataFrame:

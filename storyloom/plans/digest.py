@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.constants import THEMES
 from storyloom.functions.dates import reported_text
 from storyloom.functions.render import digest_headline, source_line
-from storyloom.functions.stories import choose
+from storyloom.functions.stories import choose, trend_code, trend_name
 from storyloom.plans.briefing import article_age
 
 LINE_ORDER = [
@@ -26,11 +26,13 @@ def digest_stories(
         .groupBy("theme", F.col(label).alias("label"))
         .agg(
             F.max("importance").alias("max_importance"),
-            F.min_by("trend", "ordinal").alias("trend"),
+            F.min_by(trend_code("trend"), F.col("ordinal")).alias("_trend"),
             F.min("ordinal").alias("first_ordinal"),
             F.count("*").alias("article_count"),
         )
         .withColumn("theme_rank", choose("theme", ranks))
+        .withColumn("trend", trend_name("_trend"))
+        .drop("_trend")
     )
 
 

@@ -127,7 +127,7 @@ art_daily AS (
 
 
 def article_days(rows: DataFrame) -> DataFrame:
-    return coverage_trend_history(daily_coverage(rows, ["story_id", "date"]))
+    return coverage_trend_history(daily_coverage(rows, ["story_id", "date"], "story_id"))
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:

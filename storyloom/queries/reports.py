@@ -126,7 +126,7 @@ filled AS (
 
 
 def _stories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roll.with_score(roll.story_rollup(a.tracked(spark, sf_dir)))
+    return roll.with_score(roll.story_metrics(a.tracked(spark, sf_dir)))
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ FROM stories
 """)
 def story_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per story with everything the reports need."""
-    rows = _stories(spark, sf_dir)
+    rows = roll.story_rollup(a.tracked(spark, sf_dir))
     return rows.select(
         "canonical_label", "first_ordinal", "theme", F.array_join("themes", "|").alias("themes"),
         "trend", "source_count", "article_count",
@@ -185,7 +185,7 @@ def story_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {STORIES} SELECT canonical_label, round(score, 6) AS score, first_ordinal FROM stories")
 def story_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stories in ranked order."""
-    rows = roll.rank_stories(roll.story_rollup(a.tracked(spark, sf_dir)))
+    rows = roll.rank_stories(roll.story_metrics(a.tracked(spark, sf_dir)))
     return rows.select("canonical_label", F.round("score", 6).alias("score"), "first_ordinal")
 
 
