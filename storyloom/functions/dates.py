@@ -50,14 +50,19 @@ def published_date(raw: Column | str) -> Column:
 
 
 def skip_reason(raw: Column | str, target: Column | None) -> Column:
-    """Why an item is not part of the target day; null keeps it."""
+    """Why an item is not part of the target day; null keeps it.
+
+    The date is parsed in one place only: a filter on the reason copies the
+    expression, and each copy of the parser is compiled.
+    """
     if target is None:
         return F.lit(None).cast("string")
-    day = published_date(raw)
-    return (
-        F.when(clean(raw) == "", F.lit("missing_timestamp"))
-        .when(day.isNull(), F.lit("unparseable_timestamp"))
-        .when(day != target, F.lit("outside_date"))
+    other_day = (published_date(raw) != target).cast("string")
+    reasons = F.create_map(
+        F.lit("true"), F.lit("outside_date"), F.lit("none"), F.lit("unparseable_timestamp")
+    )
+    return F.when(clean(raw) == "", F.lit("missing_timestamp")).otherwise(
+        F.element_at(reasons, F.coalesce(other_day, F.lit("none")))
     )
 
 

@@ -13,11 +13,7 @@ def skip_report(items: DataFrame) -> DataFrame:
 
     A null source marks a total. Rows that are kept are not part of the report.
     """
-    per_source = (
-        items.filter(F.col("skip_reason").isNotNull())
-        .groupBy("skip_reason", "source")
-        .agg(F.count("*").alias("items"))
-    )
+    per_source = items.groupBy("skip_reason", "source").agg(F.count("*").alias("items"))
     return (
         per_source.rollup("skip_reason", "source")
         .agg(F.sum("items").alias("items"))

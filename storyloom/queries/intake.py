@@ -35,8 +35,8 @@ GROUP BY GROUPING SETS ((skip_reason, source), (skip_reason))
 def skip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that do not belong to a run date, by reason and source."""
     target = F.lit(_TARGET).cast("date")
-    rows = a.articles(spark, sf_dir, spread=True).withColumn("skip_reason", skip_reason("published_at", target))
-    return report_skips(rows)
+    rows = a.articles(spark, sf_dir, spread=True)
+    return report_skips(rows.withColumn("skip_reason", skip_reason("published_at", target)))
 
 
 @query(f"""
@@ -48,11 +48,12 @@ FROM art
 """)
 def published_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mail dates parsed to a UTC day and a report time."""
-    return a.articles(spark, sf_dir, spread=True).select(
+    rows = a.articles(spark, sf_dir, spread=True).withColumn("_at", parse_reported("published_at"))
+    return rows.select(
         "id",
         "published_at",
-        parse_reported("published_at").cast("date").cast("string").alias("day"),
-        reported_text("published_at").alias("reported"),
+        F.col("_at").cast("date").cast("string").alias("day"),
+        reported_text("published_at", "_at").alias("reported"),
     )
 
 
