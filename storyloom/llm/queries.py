@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import packing, simhash
+from storyloom.llm import packing, pii, simhash
 from storyloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,13 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
+    "op10_personal_data": op10_personal_data,
 }
 SQL: dict[str, str] = {}
