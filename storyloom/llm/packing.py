@@ -17,7 +17,9 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,53 +28,99 @@ from storyloom.llm.shared import settle, whole_text, width
 
 END_ID = b"\0\0\0\0"
 
-# Entries of the word cache of one Python worker; a full cache starts anew.
-CACHE_WORDS = 400_000
+# Entries of the cache of one Python worker; a full cache starts anew.
+CACHE_WORDS = 1_000_000
 
-# Texts of these characters only are split into words here, by the tokenizer's own rule
-# (lower case, runs of letters, single digits, runs of other signs, English clitics).
-# Any other text goes through the tokenizer as a whole.
-_PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+# Texts encoded at a time.
+BLOCK = 2000
+
+# Texts of these characters only are lower-cased and split at white space here, and each
+# word by the tokenizer's own rule (runs of letters, single digits, runs of other signs,
+# English clitics): the tokenizer treats what stands between white space by itself. Any
+# other text goes through the tokenizer as a whole.
+_PLAIN = bytes([9, 10, 13, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+
+
+def _is_plain(text: str) -> bool:
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return False
 
 
 class WordTokenizer:
-    """Token ids of whole texts as little-endian 32-bit bytes, words cached."""
+    """Token ids of whole texts as little-endian 32-bit bytes, cached by word."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._ids: dict[str, bytes] = {}
 
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def _whole(self, text: str) -> np.ndarray:
+        found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(found.ids, "<u4")
 
     def _learn(self, words: list[str]) -> None:
-        if len(self._ids) + len(words) > CACHE_WORDS:
+        """Cache the ids of words as they stand between white space."""
+        known = self._ids
+        parts = {w: _PART.findall(w) for w in words if not w.isalpha()}
+        new = {w for w in words if w not in parts}
+        new = list(new.union(*parts.values()).difference(known))
+        ids = self._whole(" ".join(new))
+        # Every part ends in the one token that closes it.
+        stops = np.flatnonzero(self._ends_word[ids]) + 1
+        if len(stops) == len(new) and (not len(new) or stops[-1] == len(ids)):
+            raw, at = ids.tobytes(), 0
+            for word, stop in zip(new, (4 * stops).tolist(), strict=True):
+                known[word] = raw[at:stop]
+                at = stop
+        else:
+            for word in new:
+                known[word] = self._whole(word).tobytes()
+        for word, found in parts.items():
+            if word not in known:
+                known[word] = b"".join(map(known.__getitem__, found))
+
+    def _plain_ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        split = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        coded = split.values.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self._ids) > CACHE_WORDS:
             self._ids.clear()
-        for word, found in zip(
-            words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True
-        ):
-            self._ids[word] = self._pack(found.ids)
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if not _PLAIN.fullmatch(text) or any(a in text for a in self._added):
-                yield self._pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
-                continue
-            words = _WORD.findall(text.lower())
-            try:
-                yield b"".join(map(self._ids.__getitem__, words))
-            except KeyError:
-                self._learn(list(set(words).difference(self._ids)))
-                if self._ids.keys() >= set(words):
-                    yield b"".join(map(self._ids.__getitem__, words))
-                else:  # the cache was emptied meanwhile
-                    self._learn(list(set(words).difference(self._ids)))
-                    yield b"".join(map(self._ids.__getitem__, words))
+        found = list(map(self._ids.get, distinct))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            self._learn([distinct[i] for i in gaps])
+            for i in gaps:
+                found[i] = self._ids[distinct[i]]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        codes = coded.indices.to_numpy()
+        each = sizes[codes]
+        ends = np.cumsum(each, dtype=np.int32)
+        # Token by token: where its word's ids start, and how far into the word it is.
+        at = np.repeat(starts[codes] - ends + each, each)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat.take(at)
+        bounds = np.r_[0, ends][split.offsets.to_numpy()]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield ids[a:b]
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        for at in range(0, len(texts), BLOCK):
+            block = texts.slice(at, BLOCK)
+            strings = block.to_pylist()
+            plain = [_is_plain(s) and not any(a in s for a in self._added) for s in strings]
+            quick = self._plain_ids(pa.concat_arrays([block.filter(pa.array(plain))]))
+            for string, simple in zip(strings, plain, strict=True):
+                yield (next(quick) if simple else self._whole(string)).tobytes()
 
 
 @lru_cache(maxsize=4)
@@ -98,8 +146,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int) -> DataF
         for batch in batches:
             rows: list[int] = []
             pieces, starts, lengths, sums = [], [], [], []
-            texts = batch.column("text").to_pylist()
-            for row, ids in enumerate(tokenizer.encode(texts)):
+            for row, ids in enumerate(tokenizer.encode(batch.column("text"))):
                 ids += END_ID
                 for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at : at + 4 * max_tokens]
