@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import mixing, packing, pii, simhash, toxicity
+from storyloom.llm import mixing, packing, pii, simhash, topk, toxicity
 from storyloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(docs, labels, ["quality", "toxic"], flatten=0.7, least_rate=0.0)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -37,8 +41,28 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_mixing_weights": op3_mixing_weights,
+    "op4_exact_top_k": op4_exact_top_k,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op10_personal_data": op10_personal_data,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_exact_top_k": """
+WITH fit AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(range(1, least(len(q.w), len(c.w)) + 1),
+                                        lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
+    FROM fit AS q JOIN fit AS c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 100 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+    FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+""",
+}
