@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import mixing, packing, pii, simhash, topk, toxicity
+from storyloom.llm import mixing, packing, pii, simhash, sketches, topk, toxicity
 from storyloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_versions(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op4_exact_top_k": op4_exact_top_k,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
     "op7_toxicity": op7_toxicity,
+    "op9_fingerprints": op9_fingerprints,
     "op10_personal_data": op10_personal_data,
 }
 SQL: dict[str, str] = {
