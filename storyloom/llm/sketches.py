@@ -27,14 +27,13 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.shared import settle, whole_text, width
 
-# Cells per hash function: of the fingerprint, and of the retries. A text has at most 32
-# paragraphs and a few, so the largest sketch has ten times as many cells as digests.
-CELLS = (8, 32, 256)
+# Cells per table, and a table per hash function: of the fingerprint, and of the retries.
+CELLS = (8, 32, 128)
 HASHES = 3
-ROUNDS = 12
+# Each round peels one table.
+ROUNDS = 18
 
 _LENGTH_BITS = 20
-_CELL = "struct<n:int,k:bigint,c:bigint>"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -72,90 +71,117 @@ def _length(digest: Column) -> Column:
     return digest.bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
 
 
-def _place(digest: Column, table: Column, cells: int) -> Column:
+def _place(digest: Column, table: int, cells: int) -> Column:
     """The cell of a digest in one of the tables."""
-    return F.call_function(
-        "shiftrightunsigned", digest, (F.lit(_LENGTH_BITS) + table * 14).cast("int")
-    ).bitwiseAND(F.lit(cells - 1).cast("long"))
+    return F.shiftrightunsigned(digest, _LENGTH_BITS + 14 * table).bitwiseAND(
+        F.lit(cells - 1).cast("long")
+    )
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _add(cell: Column, digest: Column, sign: Column) -> Column:
-    return F.struct(
-        (cell["n"] + sign).cast("int").alias("n"),
-        cell["k"].bitwiseXOR(digest).alias("k"),
-        cell["c"].bitwiseXOR(_check(digest)).alias("c"),
+def _cell(n: Column, k: Column, c: Column) -> Column:
+    return F.struct(n.cast("int").alias("n"), k.cast("long").alias("k"), c.cast("long").alias("c"))
+
+
+def _combine(cells: Column, items: Column) -> Column:
+    """``cells`` with items (place, n, k, c) added in."""
+    return F.transform(
+        cells,
+        lambda cell, at: F.aggregate(
+            F.filter(items, lambda x: x["p"] == at),
+            cell,
+            lambda acc, x: _cell(acc["n"] + x["n"], acc["k"].bitwiseXOR(x["k"]), acc["c"].bitwiseXOR(x["c"])),
+        ),
     )
 
 
-def _in_cell(items: Column, at: Column, cells: int, digest_of: Callable[[Column], Column]) -> Column:
-    table, place = F.floor(at / cells), (at % cells).cast("long")
-    return F.filter(items, lambda x: _place(digest_of(x), table, cells) == place)
+def _tables(of: Callable[[int], Column]) -> Column:
+    return F.struct(*[of(j).alias(f"t{j}") for j in range(HASHES)])
 
 
 def sketch(keys: Column, cells: int) -> Column:
-    """``HASHES * cells`` cells of (count, xor of digests, xor of checks)."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(HASHES * cells - 1)),
-        lambda at: F.aggregate(
-            _in_cell(keys, at, cells, lambda d: d), empty, lambda cell, d: _add(cell, d, F.lit(1))
-        ),
-    )
+    """Tables t0, t1, ... of cells (count, xor of digests, xor of checks)."""
+    empty = F.array_repeat(_cell(F.lit(0), F.lit(0), F.lit(0)), cells)
+
+    def table(j: int) -> Column:
+        items = F.transform(
+            keys,
+            lambda d: F.struct(
+                _place(d, j, cells).cast("int").alias("p"),
+                F.lit(1).alias("n"),
+                d.alias("k"),
+                _check(d).alias("c"),
+            ),
+        )
+        return _let(items, lambda found: _combine(empty, found))
+
+    return _tables(table)
 
 
 def subtract(one: Column, other: Column) -> Column:
-    return F.zip_with(
-        one,
-        other,
-        lambda a, b: F.struct(
-            (a["n"] - b["n"]).cast("int").alias("n"),
-            a["k"].bitwiseXOR(b["k"]).alias("k"),
-            a["c"].bitwiseXOR(b["c"]).alias("c"),
-        ),
+    return _tables(
+        lambda j: F.zip_with(
+            one[f"t{j}"],
+            other[f"t{j}"],
+            lambda a, b: _cell(a["n"] - b["n"], a["k"].bitwiseXOR(b["k"]), a["c"].bitwiseXOR(b["c"])),
+        )
     )
 
 
-def peel(cells: Column, per_table: int) -> Column:
-    """The digests on which two sketches differ; null if the sketch was too small."""
-    start = F.struct(
-        cells.cast(f"array<{_CELL}>").alias("cells"), F.array().cast("array<bigint>").alias("found")
-    )
-
-    def round_(state: Column, _: Column) -> Column:
-        pure = F.array_distinct(
-            F.transform(
-                F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"]))),
-                lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k")),
-            )
-        )
+def _pure(cell: Column) -> Column:
+    return (F.abs(cell["n"]) == 1) & (cell["c"] == _check(cell["k"]))
+
+
+def peel(tables: Column, cells: int) -> Column:
+    """The digests on which two sketches differ; null if the sketch was too small.
+
+    A round takes the cells of one table that hold a single digest: in one table no digest
+    is met twice. Its digests leave the other tables.
+    """
+
+    def turn(state: Column, j: int) -> Column:
+        def leave(pure: Column) -> Column:
+            def table(i: int) -> Column:
+                own = state["tables"][f"t{i}"]
+                if i == j:
+                    return F.transform(
+                        own, lambda c: F.when(_pure(c), _cell(F.lit(0), F.lit(0), F.lit(0))).otherwise(c)
+                    )
+                items = F.transform(
+                    pure,
+                    lambda c: F.struct(
+                        _place(c["k"], i, cells).cast("int").alias("p"),
+                        (-c["n"]).alias("n"),
+                        c["k"].alias("k"),
+                        c["c"].alias("c"),
+                    ),
+                )
+                return _let(items, lambda found: _combine(own, found))
 
-        def remove(pure: Column) -> Column:
-            left = F.transform(
-                state["cells"],
-                lambda cell, at: F.aggregate(
-                    _in_cell(pure, at, per_table, lambda p: p["k"]),
-                    cell,
-                    lambda acc, p: _add(acc, p["k"], -p["n"]),
-                ),
-            )
             return F.when(F.size(pure) == 0, state).otherwise(
                 F.struct(
-                    left.alias("cells"),
-                    F.concat(state["found"], F.transform(pure, lambda p: p["k"])).alias("found"),
+                    _tables(table).alias("tables"),
+                    F.concat(state["found"], F.transform(pure, lambda c: c["k"])).alias("found"),
                 )
             )
 
-        return _let(pure, remove)
+        return _let(F.filter(state["tables"][f"t{j}"], _pure), leave)
+
+    def round_(state: Column, number: Column) -> Column:
+        chosen = F.when(number % HASHES == 0, turn(state, 0))
+        for j in range(1, HASHES):
+            chosen = chosen.when(number % HASHES == j, turn(state, j))
+        return chosen.otherwise(state)
 
     def finish(state: Column) -> Column:
-        stuck = F.exists(state["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["c"] != 0))
+        stuck = F.exists(state["tables"]["t0"], lambda c: (c["n"] != 0) | (c["k"] != 0))
         return F.when(~stuck, state["found"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, finish)
+    start = F.struct(tables.alias("tables"), F.array().cast("array<bigint>").alias("found"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_, finish)
 
 
 def difference(one: Column, other: Column) -> Column:
@@ -180,8 +206,9 @@ def likeness(one: Column, other: Column) -> Column:
 
 def fingerprint(keys: Column, least: Column) -> Column:
     """Scale, characters and cells as text."""
+    tables = sketch(keys, CELLS[0])
     cells = F.transform(
-        sketch(keys, CELLS[0]),
+        _let(tables, lambda t: F.concat(*[t[f"t{j}"] for j in range(HASHES)])),
         lambda c: F.concat_ws(
             ".", c["n"].cast("string"), F.lower(F.hex(c["k"])), F.lower(F.hex(c["c"]))
         ),
