@@ -5,8 +5,9 @@ power-of-two number of characters, its scale, and ends at the next sentence end,
 next white space if that is too far. A digest holds a hash of the paragraph (and of how
 often it came before) and its length. Digests go into three cells each, and cells keep a
 count and two exclusive-ors. Cells of two versions subtract; peeling cells with one digest
-left recovers the paragraphs in which they differ. If peeling gets stuck, larger sketches
-are subtracted and peeled. Likeness is the share of characters in paragraphs that do not
+left recovers the paragraphs in which they differ. Cells to peel are rows, all those of a
+document in one partition, so a round of peeling is an aggregation without a shuffle. If
+peeling gets stuck, larger sketches are subtracted and peeled. Likeness is the share of characters in paragraphs that do not
 differ, at the coarser of the two scales.
 
 All of it is SQL functions. The next document is found by a window over ranges of doc_id,
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from storyloom.llm.shared import settle, whole_text, width
 
-# Cells per table, and a table per hash function: of the fingerprint, and of the retries.
-CELLS = (8, 32, 128)
+# Cells per table, and a table per hash function. A text has about 32 paragraphs at most.
+FINGERPRINT_CELLS = 8
+PEEL_CELLS = (32, 128)
 HASHES = 3
 # Each round peels one table.
-ROUNDS = 18
+ROUNDS = 12
 
 _LENGTH_BITS = 20
 
@@ -121,99 +123,120 @@ def sketch(keys: Column, cells: int) -> Column:
     return _tables(table)
 
 
-def subtract(one: Column, other: Column) -> Column:
-    return _tables(
-        lambda j: F.zip_with(
-            one[f"t{j}"],
-            other[f"t{j}"],
-            lambda a, b: _cell(a["n"] - b["n"], a["k"].bitwiseXOR(b["k"]), a["c"].bitwiseXOR(b["c"])),
+def _signed_cells(one: Column, other: Column, cells: int) -> Column:
+    """Cell entries of one list's digests, and of the other's with the sign turned."""
+
+    def entries(keys: Column, j: int, sign: int) -> Column:
+        return F.transform(
+            keys,
+            lambda d: F.struct(
+                F.lit(j).alias("t"),
+                _place(d, j, cells).cast("int").alias("p"),
+                F.lit(sign).cast("long").alias("n"),
+                d.alias("k"),
+                _check(d).alias("c"),
+                F.lit(0).cast("long").alias("chars"),
+            ),
         )
-    )
 
+    return F.concat(
+        *[entries(keys, j, sign) for keys, sign in ((one, 1), (other, -1)) for j in range(HASHES)]
+    )
 
-def _pure(cell: Column) -> Column:
-    return (F.abs(cell["n"]) == 1) & (cell["c"] == _check(cell["k"]))
 
+def _sum_cells(rows: DataFrame) -> DataFrame:
+    """Entries of a cell added up; empty cells go. Table -1 holds what was recovered."""
+    return (
+        rows.groupBy("row", "pair", "t", "p")
+        .agg(
+            F.sum("n").alias("n"),
+            F.bit_xor("k").alias("k"),
+            F.bit_xor("c").alias("c"),
+            F.sum("chars").alias("chars"),
+        )
+        .where("n <> 0 OR k <> 0 OR c <> 0 OR t = -1")
+    )
 
-def peel(tables: Column, cells: int) -> Column:
-    """The digests on which two sketches differ; null if the sketch was too small.
 
-    A round takes the cells of one table that hold a single digest: in one table no digest
-    is met twice. Its digests leave the other tables.
-    """
+def _peel_round(rows: DataFrame, j: int, cells: int) -> DataFrame:
+    """Takes the cells of table j that hold one digest: in one table none is met twice."""
+    n, k, c = F.col("n"), F.col("k"), F.col("c")
+    pure = (F.col("t") == j) & (F.abs(n) == 1) & (c == _check(k))
 
-    def turn(state: Column, j: int) -> Column:
-        def leave(pure: Column) -> Column:
-            def table(i: int) -> Column:
-                own = state["tables"][f"t{i}"]
-                if i == j:
-                    return F.transform(
-                        own, lambda c: F.when(_pure(c), _cell(F.lit(0), F.lit(0), F.lit(0))).otherwise(c)
-                    )
-                items = F.transform(
-                    pure,
-                    lambda c: F.struct(
-                        _place(c["k"], i, cells).cast("int").alias("p"),
-                        (-c["n"]).alias("n"),
-                        c["k"].alias("k"),
-                        c["c"].alias("c"),
-                    ),
-                )
-                return _let(items, lambda found: _combine(own, found))
-
-            return F.when(F.size(pure) == 0, state).otherwise(
-                F.struct(
-                    _tables(table).alias("tables"),
-                    F.concat(state["found"], F.transform(pure, lambda c: c["k"])).alias("found"),
-                )
-            )
+    def entry(table: int, place: Column, n: Column, k: Column, c: Column, chars: Column) -> Column:
+        return F.struct(
+            F.lit(table).alias("t"),
+            place.cast("int").alias("p"),
+            n.alias("n"),
+            k.alias("k"),
+            c.alias("c"),
+            chars.alias("chars"),
+        )
 
-        return _let(F.filter(state["tables"][f"t{j}"], _pure), leave)
+    zero = F.lit(0).cast("long")
+    leaves = [
+        entry(i, _place(k, i, cells), -n, k, c, zero) for i in range(HASHES) if i != j
+    ]
+    recovered = entry(-1, F.lit(0), zero, zero, zero, _length(k))
+    same = F.struct("t", "p", "n", "k", "c", "chars")
+    turned = F.when(pure, F.array(*leaves, recovered)).otherwise(F.array(same))
+    return _sum_cells(rows.select("row", "pair", F.inline(turned)))
 
-    def round_(state: Column, number: Column) -> Column:
-        chosen = F.when(number % HASHES == 0, turn(state, 0))
-        for j in range(1, HASHES):
-            chosen = chosen.when(number % HASHES == j, turn(state, j))
-        return chosen.otherwise(state)
 
-    def finish(state: Column) -> Column:
-        stuck = F.exists(state["tables"]["t0"], lambda c: (c["n"] != 0) | (c["k"] != 0))
-        return F.when(~stuck, state["found"])
+def differing_characters(pairs: DataFrame, cells: int) -> DataFrame:
+    """(row, pair, chars, stuck) of pairs (row, pair, one, other) that differ at all.
 
-    start = F.struct(tables.alias("tables"), F.array().cast("array<bigint>").alias("found"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_, finish)
+    ``chars`` are those of the recovered digests of both lists; ``stuck`` says that some
+    could not be recovered from sketches of this size. Rows of a document share a partition.
+    """
+    rows = pairs.repartition(width(pairs.sparkSession), "row").select(
+        "row", "pair", F.inline(_signed_cells(F.col("one"), F.col("other"), cells))
+    )
+    rows = _sum_cells(rows)
+    for number in range(ROUNDS):
+        rows = _peel_round(rows, number % HASHES, cells)
+    return rows.groupBy("row", "pair").agg(
+        F.sum("chars").alias("chars"), F.max((F.col("t") >= 0).cast("int")).alias("stuck")
+    )
 
 
-def difference(one: Column, other: Column) -> Column:
-    """Digests in one of two lists, by sketches of growing size."""
-    tries = [peel(subtract(sketch(one, n), sketch(other, n)), n) for n in CELLS]
-    # Two digests that share all cells of every size: compare the lists themselves.
-    return F.coalesce(*tries, F.array_union(F.array_except(one, other), F.array_except(other, one)))
+def differences(pairs: DataFrame) -> DataFrame:
+    """(row, pair, chars) of pairs that differ: peeled, in larger sketches where stuck."""
+    found = None
+    left = pairs
+    for cells in PEEL_CELLS:
+        peeled = settle(differing_characters(left, cells))
+        done = peeled.where("stuck = 0").select("row", "pair", "chars")
+        found = done if found is None else found.union(done)
+        left = left.join(peeled.where("stuck = 1").select("row", "pair"), ["row", "pair"], "left_semi")
+    # Digests that share their cells in every size: compare the lists themselves.
+    either = F.array_union(
+        F.array_except("one", "other"), F.array_except("other", "one")
+    )
+    return found.union(left.select("row", "pair", _characters(either).alias("chars")))
 
 
 def _characters(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, d: acc + _length(d))
 
 
-def likeness(one: Column, other: Column) -> Column:
+def likeness(one: Column, other: Column, differing: Column) -> Column:
     total = _characters(one) + _characters(other)
-    return (
-        F.when(one == other, F.lit(1.0))
-        .when(total == 0, F.lit(1.0))
-        .otherwise(F.lit(1.0) - _characters(difference(one, other)) / total)
+    return F.when(total == 0, F.lit(1.0)).otherwise(
+        F.lit(1.0) - F.coalesce(differing, F.lit(0).cast("long")) / total
     )
 
 
 def fingerprint(keys: Column, least: Column) -> Column:
     """Scale, characters and cells as text."""
-    tables = sketch(keys, CELLS[0])
+    tables = sketch(keys, FINGERPRINT_CELLS)
     cells = F.transform(
         _let(tables, lambda t: F.concat(*[t[f"t{j}"] for j in range(HASHES)])),
-        lambda c: F.concat_ws(
-            ".", c["n"].cast("string"), F.lower(F.hex(c["k"])), F.lower(F.hex(c["c"]))
-        ),
+        lambda c: F.concat_ws(".", c["n"].cast("string"), F.hex(c["k"]), F.hex(c["c"])),
+    )
+    return F.concat_ws(
+        "|", least.cast("string"), _characters(keys).cast("string"), F.lower(F.array_join(cells, ";"))
     )
-    return F.concat_ws("|", least.cast("string"), _characters(keys).cast("string"), F.array_join(cells, ";"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -263,6 +286,7 @@ def compare_versions(docs: DataFrame) -> DataFrame:
 
     keys = settle(
         texts.select(
+            F.monotonically_increasing_id().alias("row"),
             "doc_id",
             n.cast("long").alias("n_chars"),
             F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
@@ -278,12 +302,30 @@ def compare_versions(docs: DataFrame) -> DataFrame:
             at("text", "s", "s_next").alias("k_as_next"),
         )
     )
-    return keys.select(
+    edited_pair = F.coalesce("k_as_edited", "k"), F.coalesce("k_edited_as", "k_edited")
+    next_pair = F.coalesce("k_as_next", "k"), F.col("k_next")
+    pairs = keys.select(
+        "row",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(i).alias("pair"), one.alias("one"), other.alias("other"))
+                    for i, (one, other) in enumerate((edited_pair, next_pair))
+                ]
+            )
+        ),
+    )
+    differing = (
+        differences(pairs)
+        .groupBy("row")
+        .agg(*[F.sum(F.when(F.col("pair") == i, F.col("chars"))).alias(f"d{i}") for i in (0, 1)])
+    )
+    return keys.join(differing, "row", "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         fingerprint(F.col("k"), F.col("s")).alias("fingerprint"),
         fingerprint(F.col("k_edited"), F.col("s_edited")).alias("edited_fingerprint"),
-        likeness(F.coalesce("k_as_edited", "k"), F.coalesce("k_edited_as", "k_edited")).alias("near_edited"),
-        likeness(F.coalesce("k_as_next", "k"), F.col("k_next")).alias("near_next"),
+        likeness(*edited_pair, F.col("d0")).alias("near_edited"),
+        likeness(*next_pair, F.col("d1")).alias("near_next"),
     )
