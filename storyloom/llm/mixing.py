@@ -153,10 +153,11 @@ def fit_rates(
     weights: dict[str, float] | None,
     flatten: float,
     least_rate: float,
-    tolerance: float = 1e-9,
-    max_steps: int = 60,
+    tolerance: float = 1e-4,
+    max_steps: int = 40,
 ) -> Mixture:
-    """Projected gradient over ``scored (tokens, p0, p1, ...)``.
+    """Projected gradient over ``scored (tokens, p0, p1, ...)``, until the totals are within
+    ``tolerance`` of the whole of their targets or a step gains less than a hundredth.
 
     Targets are the given weights, or the domains' own token shares to the power
     ``flatten``, times the smallest total in which no domain has to shrink. Steps are taken
@@ -193,7 +194,7 @@ def fit_rates(
     for _ in range(max_steps):
         residual = reached - target
         now = float(np.linalg.norm(residual)) / total
-        if now < tolerance or abs(error - now) < tolerance * max(now, tolerance):
+        if now < tolerance or error - now < 0.01 * now:
             break
         error = now
         steps.append((inverse @ residual).tolist())
@@ -221,7 +222,8 @@ def fit(
     """The fitted mixture, and (doc_id, tokens, p0, ...) of every row of ``docs``.
 
     ``max_rows`` bounds the labelled rows (about that many, drawn by hash) of the
-    classifier; the rates are fitted over all documents.
+    classifier; the rates are fitted over all documents. Documents with the same bins have
+    the same posterior and so the same rate: their tokens are summed before the steps.
     """
     statistics = settle(
         _with_statistics(docs.select("doc_id", "text")).select(
@@ -229,14 +231,12 @@ def fit(
         )
     )
     classifier = fit_classifier(statistics, labels, label_columns, max_rows)
-    scored = settle(
-        statistics.select(
-            "doc_id",
-            "tokens",
-            *[p.alias(f"p{i}") for i, p in enumerate(classifier.posterior(F.col("_bins")))],
-        )
+    posterior = [p.alias(f"p{i}") for i, p in enumerate(classifier.posterior(F.col("_bins")))]
+    alike = settle(
+        statistics.groupBy("_bins").agg(F.sum("tokens").alias("tokens")).select("tokens", *posterior)
     )
-    return fit_rates(scored, classifier, weights, flatten, least_rate), scored
+    mixture = fit_rates(alike, classifier, weights, flatten, least_rate)
+    return mixture, statistics.select("doc_id", "tokens", *posterior)
 
 
 def rates(docs: DataFrame, labels: DataFrame, label_columns: list[str], **options) -> DataFrame:
