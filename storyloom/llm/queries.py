@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import mixing, packing, pii, simhash, sketches, topk, toxicity
+from storyloom.llm import html_text, mixing, packing, pii, simhash, sketches, topk, toxicity
 from storyloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_mixing_weights": op3_mixing_weights,
     "op4_exact_top_k": op4_exact_top_k,
+    "op5_html_main_text": op5_html_main_text,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
     "op7_toxicity": op7_toxicity,
     "op9_fingerprints": op9_fingerprints,
