@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.shared import settle, whole_text
+from storyloom.llm.shared import settle, whole_rows, whole_text
 
 BINS = 16
 
@@ -268,12 +268,19 @@ def rates(docs: DataFrame, labels: DataFrame, label_columns: list[str], **option
 def mix(docs: DataFrame, labels: DataFrame, label_columns: list[str], **options) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says.
 
-    Rates are worked out from the text in place, so texts don't move.
+    Rates are worked out from the text in place, so texts don't move. The rated rows are
+    written before they are repeated: a filter on the number of copies would otherwise be
+    pushed below them and read every text again.
     """
     mixture, _ = fit(docs, labels, label_columns, **options)
-    names = docs.columns
-    copies = _copies(mixture.rate(mixture.classifier.posterior(F.col("_bins"))))
-    rated = _with_statistics(docs).withColumn("_copies", copies).where("_copies > 0")
-    return rated.select(
-        *names, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    ).drop("_copy")
+    posterior = {f"_p{i}": p for i, p in enumerate(mixture.classifier.posterior(F.col("_bins")))}
+    rated = settle(
+        _with_statistics(whole_rows(docs))
+        .withColumns(posterior)
+        .select("_row", _copies(mixture.rate([F.col(p) for p in posterior])).alias("_copies"))
+    )
+    return (
+        rated.where("_copies > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select("_row.*")
+    )

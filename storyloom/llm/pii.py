@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.shared import whole_text
+from storyloom.llm.shared import whole_rows, whole_text
 
 # Kinds in the order in which spans at one start are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
@@ -287,10 +287,12 @@ def mask(docs: DataFrame) -> DataFrame:
         step,
         lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text))),
     )
-    out = find_spans(docs).withColumn("_masked", F.when(F.size("pii_spans") > 0, masked))
+    out = find_spans(whole_rows(docs)).withColumn(
+        "_masked", F.when(F.size("pii_spans") > 0, masked)
+    )
     changed = {"text": F.coalesce("_masked", "text")}
     if "n_chars" in names:
         changed["n_chars"] = F.coalesce(
-            F.length("_masked").cast(docs.schema["n_chars"].dataType), "n_chars"
+            F.length("_masked").cast(docs.schema["n_chars"].dataType), F.col("_row.n_chars")
         )
-    return out.select(*[changed.get(c, F.col(c)).alias(c) for c in names])
+    return out.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names])

@@ -51,5 +51,15 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, text): every row as a struct, beside the columns that are read.
+
+    Names made up on the way can't clash with columns of ``docs``; ``_row.*`` restores them.
+    """
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text"
+    )
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -217,10 +217,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     stays = docs.join(
         kept,
         (docs["doc_id"] == kept["_kept"])
-        & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == kept["_text.text_hash"]),
+        & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == kept["_text"]["text_hash"]),
     )
-    once = stays.where("_text.copies = 1").select(*[docs[c] for c in names])
-    again = stays.where("_text.copies > 1").select(*[docs[c] for c in names])
+    copies = kept["_text"]["copies"]
+    once = stays.where(copies == 1).select(*[docs[c] for c in names])
+    again = stays.where(copies > 1).select(*[docs[c] for c in names])
     again = (
         again.groupBy("doc_id")
         .agg(F.first(F.struct(*names)).alias("_row"))

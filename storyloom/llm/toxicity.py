@@ -267,6 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
     Rows are drawn by hash of their doc_id. Both halves of the draw are kept apart: one
     gives the lexicon, the other, on which the lexicon has not been fitted, the coefficients.
     """
+    docs = docs.select("doc_id", "text")
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~held_out())
     share = min(1.0, max_rows / max(known.count(), 1))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
