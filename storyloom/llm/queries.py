@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import html_text, mixing, packing, pii, simhash, sketches, topk, toxicity
+from storyloom.llm import html_text, language_model, mixing, packing, pii, simhash, sketches, topk, toxicity
 from storyloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return mixing.rates(docs, labels, ["quality", "toxic"], flatten=0.7, least_rate=0.0)
@@ -48,6 +52,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_model": op2_language_model,
     "op3_mixing_weights": op3_mixing_weights,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_html_main_text": op5_html_main_text,
