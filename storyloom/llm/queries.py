@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from storyloom.llm import html_text, language_model, mixing, packing, pii, simhash, sketches, topk, toxicity
+from storyloom.llm import html_text, language_model, mixing, packing, pii, repeats, simhash, sketches, topk, toxicity
 from storyloom.llm.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_versions(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op5_html_main_text": op5_html_main_text,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
     "op7_toxicity": op7_toxicity,
+    "op8_repeated_strings": op8_repeated_strings,
     "op9_fingerprints": op9_fingerprints,
     "op10_personal_data": op10_personal_data,
 }
