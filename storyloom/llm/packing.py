@@ -29,10 +29,10 @@ from storyloom.llm.shared import settle, whole_text, width
 END_ID = b"\0\0\0\0"
 
 # Entries of the cache of one Python worker; a full cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 # Texts encoded at a time.
-BLOCK = 2000
+BLOCK = 1000
 
 # Texts of these characters only are lower-cased and split at white space here, and each
 # word by the tokenizer's own rule (runs of letters, single digits, runs of other signs,

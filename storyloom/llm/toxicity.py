@@ -48,8 +48,8 @@ _STRIPPED = string.punctuation + "¡¿«»“”„…–—"
 
 PREFIXES = (7, 6, 5, 4)
 LEXICON_TERMS = 4096
-_CACHE_WORDS = 500_000
-_BLOCK = 2000
+_CACHE_WORDS = 150_000
+_BLOCK = 1000
 
 # Coefficients where nothing can be learned: clean text about 0.1, one plain insult over 0.5.
 _FIXED = ([-2.2, 1.4, 0.0, 0.3, 0.0], [0.0] * 5, [1.0] * 5)
