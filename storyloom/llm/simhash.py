@@ -179,7 +179,7 @@ def _links_of_lists(part: list[np.ndarray], max_bits: int) -> pa.RecordBatch:
 
 
 def _placed(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id)"""
+    """(doc_id, text_hash, fp, root, component_id); components are told apart by root."""
     marked = settle(fingerprints(docs, shingle))
     distinct = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = component_roots(fingerprint_links(distinct, max_bits))
@@ -188,8 +188,8 @@ def _placed(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
     )
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     # Fingerprints of a group of exact copies are one row here.
-    named = settle(placed.join(least, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = settle(placed.join(least, "root").select("fp", "root", "component_id"))
+    return marked.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
@@ -208,22 +208,22 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     kept = settle(
         _placed(docs.where("doc_id IS NOT NULL"), shingle, max_bits)
         .where("doc_id = component_id")
-        .groupBy("doc_id", "text_hash")
+        .groupBy("root", "doc_id", "text_hash")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .groupBy(F.col("doc_id").alias("_kept"))
-        .agg(F.min(F.struct("text_hash", "copies")).alias("_text"))
+        .groupBy("root")
+        .agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("_kept"))
     )
     names = docs.columns
     stays = docs.join(
         kept,
-        (docs["doc_id"] == kept["_kept"])
-        & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == kept["_text"]["text_hash"]),
+        (docs["doc_id"] == kept["_kept"]["doc_id"])
+        & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == kept["_kept"]["text_hash"]),
     )
-    copies = kept["_text"]["copies"]
+    copies = kept["_kept"]["copies"]
     once = stays.where(copies == 1).select(*[docs[c] for c in names])
     again = stays.where(copies > 1).select(*[docs[c] for c in names])
     again = (
-        again.groupBy("doc_id")
+        again.groupBy("doc_id", F.xxhash64(whole_text()).alias("_hash"))
         .agg(F.first(F.struct(*names)).alias("_row"))
         .select("_row.*")
     )
