@@ -38,7 +38,7 @@ CLASSES = 128
 SINGLES = 64  # words with classes of their own, after the end token's class 0
 SHARED = CLASSES - SINGLES - 1
 STATE = 32
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 
 TRAIN_ONE_IN = 8
 ROUNDS = 3
@@ -91,7 +91,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Vocabulary:
     """The commonest words with their counts, class totals, and the totals N and V."""
 
-    words: list[str]
+    words: pa.Array
     counts: np.ndarray
     singles: dict[str, int]
     log_class: np.ndarray  # log10 of N_k + V_k + 1, by class; zero for single words
@@ -115,13 +115,20 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
         F.count(F.lit(1)).alias("v"),
         F.sum(F.when(F.col("word") == END, F.col("c"))).alias("e"),
     ).first()
-    top = (
-        counts.where(F.col("word") != END)
-        .orderBy(F.desc("c"), "word")
-        .limit(FREQUENT)  # the size of the model
-        .collect()
-    )
-    singles = {r["word"]: i + 1 for i, r in enumerate(top[:SINGLES])} | {END: 0}
+    # Sixteen bins for every doubling of a count: enough words of the top bins, and no more.
+    level = F.floor(F.log2("c") * 16).cast("int")
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).collect()
+    least, room = None, FREQUENT
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        room -= r["v"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = counts.where(F.lit(False) if least is None else level >= least)
+    top = top.where(F.col("word") != END).toArrow()  # FREQUENT rows at most
+    top = top.sort_by([("c", "descending"), ("word", "ascending")])
+    words = pa.concat_arrays(top.column("word").chunks or [pa.array([], pa.string())])
+    singles = {w: i + 1 for i, w in enumerate(words[:SINGLES].to_pylist())} | {END: 0}
     ending = F.crc32(F.encode(F.substring("word", -2, 2), "UTF-8")) % SHARED + SINGLES + 1
     sums = (
         counts.where(~F.col("word").isin(list(singles)))
@@ -133,8 +140,8 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     for r in sums:
         log_class[r["k"]] = np.log10(r["n"])
     return Vocabulary(
-        [r["word"] for r in top],
-        np.array([r["c"] for r in top], np.int64),
+        words.cast(pa.string()),
+        top.column("c").to_numpy().astype(np.int64),
         singles,
         log_class,
         total["n"] or 0,
@@ -301,8 +308,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     sequences = settle(training_sequences(docs, vocabulary))
     counts = np.zeros(CLASSES)
     # Class shares follow from the word counts: no pass over texts.
-    for word, c in zip(vocabulary.words, vocabulary.counts, strict=True):
-        counts[vocabulary.class_of(word)] += c
+    np.add.at(counts, vocabulary.classes(vocabulary.words.to_pylist()), vocabulary.counts)
     counts[0] = vocabulary.ends
     weights = Network.start(counts)
     sizes = {
@@ -404,7 +410,7 @@ def _score_parts(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, weights = shared.value
         network = Network(weights)
-        known_words = pa.array(vocabulary.words, pa.string())
+        known_words = vocabulary.words
         log_counts = np.log10(vocabulary.counts + 1)
         end_log = np.log10(vocabulary.ends + 1)
         for batch in batches:
