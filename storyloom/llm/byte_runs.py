@@ -17,7 +17,7 @@ _POSITION_BITS = 24
 _POSITIONS = np.uint64((1 << _POSITION_BITS) - 1)
 
 # Bytes hashed together; hashes don't depend on it.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 @lru_cache(maxsize=1)

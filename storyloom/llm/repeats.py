@@ -40,6 +40,14 @@ from storyloom.llm.shared import settle, whole_text, width
 GRAM_SHARE = 0.6  # of the length: grams that choose the anchors
 
 _EMIT = 1 << 16
+_ROWS = 500  # documents handled at a time
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few documents: what is made of them is passed on before more is made."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in _slices(batches):
             packed = [squeeze.compress(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("d"), batch.column("doc_id"), pa.array(packed, pa.binary())],
@@ -80,7 +88,7 @@ def _all_runs(docs: DataFrame, length: int) -> DataFrame:
     gram = int(length * GRAM_SHARE)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             parts = []
             for d, text in zip(batch.column("d").to_pylist(), batch.column("text"), strict=True):
                 s, n, g, w = runs(text.as_py(), length, gram)
@@ -272,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[tuple] = []
             for packed, found in zip(batch.column("packed"), batch.column("found"), strict=True):
                 data = loosen.decompress(packed.as_py())
