@@ -38,7 +38,7 @@ def daily_coverage(
     return per_source.groupBy(*keys).agg(
         F.count("source").alias("source_count"),
         F.sum("_articles").alias("article_count"),
-        (F.sum("_importance") / F.sum("_rated")).alias("importance_avg"),
+        F.try_divide(F.sum("_importance"), F.sum("_rated")).alias("importance_avg"),
     )
 
 
@@ -96,15 +96,17 @@ def recent_stories_history(
 ) -> DataFrame:
     """``recent_stories`` for every run date.
 
-    Each story day is in the window of the ``lookback_days`` run dates after it,
-    so it is laid out over those dates and no range join is needed.
+    A story day is the last one seen for the run dates after it up to the story's next day,
+    ``lookback_days`` at most, so every (story, run date) is laid out once.
     """
     days = daily.select("story_id", "date").distinct()
-    seen = (
-        days.withColumn("days_later", F.explode(F.sequence(F.lit(1), F.lit(lookback_days))))
-        .select("story_id", F.date_add("date", F.col("days_later")).alias("today"), "date")
-        .groupBy("story_id", "today")
-        .agg(F.max("date").alias("last_daily"))
+    following = F.lead("date").over(Window.partitionBy("story_id").orderBy("date"))
+    first, horizon = F.date_add("date", 1), F.date_add("date", lookback_days)
+    last = F.least(F.coalesce(following, horizon), horizon)
+    seen = days.withColumn("_last", last).select(
+        "story_id",
+        F.explode(F.sequence(first, F.col("_last"))).alias("today"),
+        F.col("date").alias("last_daily"),
     )
     named = seen.join(stories.select("story_id", "canonical_label"), "story_id")
     return newest_per_label(named, ["today", "canonical_label"])

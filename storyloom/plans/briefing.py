@@ -131,6 +131,8 @@ def briefing_requests(
         "canonical_label",
         "articles",
         F.when(first, F.col("previous_context")).alias("previous_context"),
+        # Left out of the first part; a reply to another one repeats it.
+        F.when(~first, F.col("part")).alias("part"),
     ]
     if claims is not None:
         joined = joined.join(_request_claims(tracked, shown, claims), "story_id", "left")
@@ -244,8 +246,8 @@ def briefing_lines(
         .select("section_rank", F.lit(0).alias("rank"), F.posexplode(section).alias("_pos", "_text"))
         .select(*_line(F.col("_pos"), F.col("_text")))
     )
-    # The report heading stands on its own when no story was tracked.
-    any_story = filled.groupBy().agg((F.count("*") > 0).alias("_any"))
+    # The report heading stands on its own when no story was tracked at all.
+    any_story = tracked.select("canonical_label").limit(1).agg((F.count("*") > 0).alias("_any"))
     top = F.array(F.lit(f"# {BRIEFING_SECTIONS[0]}"), F.lit(f"_{generated_at}_"), F.lit(""))
     notice = F.when(
         ~F.col("_any"), F.array_append(top, F.lit("No tracked stories found."))

@@ -12,24 +12,40 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.operators.coverage import recent_stories
 from storyloom.operators.tables import missing_payloads, write_memory
 from storyloom.plans import briefing as briefing_plan
 from storyloom.plans import digest as digest_plan
 from storyloom.plans.claims import ground_claims, save_claims, story_claims
 from storyloom.plans.edition import edition_rows
 from storyloom.plans.ingest import ingest
-from storyloom.plans.labels import label
-from storyloom.plans.tracking import Tracked, load_history, save_tracking, track
+from storyloom.plans.labels import label, label_requests
+from storyloom.plans.tracking import (
+    Tracked,
+    load_history,
+    match_requests,
+    save_tracking,
+    track,
+    tracking_counters,
+)
+from storyloom.plans.tracking import label_requests as group_requests
 from storyloom.session import cut, job_session
 from storyloom.sources.feeds import read_feeds
-from storyloom.sources.replies import briefing_replies, group_replies, match_replies
+from storyloom.sources.replies import (
+    briefing_replies,
+    group_replies,
+    match_replies,
+    reply_rejects,
+)
 from storyloom.sources.sinks import write_daily_snapshot, write_lines, write_rows
 from storyloom.sources.state import StateStore
 
+_CATALOGUE = "source_rank bigint, source string, language string, url string"
 _REPLY = "reply_no bigint, article_id string, reply string"
 
 
@@ -59,6 +75,18 @@ class Replies:
         names = ["labels", "groups", "matches", "claims", "briefings", "retries"]
         return Replies(*[table(name) for name in names])
 
+    def rejects(self) -> DataFrame:
+        """Replies that could not be read, with their kind and the reason."""
+        lists = {"labels": "results", "groups": "groups", "matches": "matches",
+                 "claims": "claims", "briefings": "briefings", "retries": "briefings"}
+        found = [
+            reply_rejects(getattr(self, kind), key).select(
+                F.lit(kind).alias("kind"), "reply_no", "article_id", "reject_reason"
+            )
+            for kind, key in lists.items()
+        ]
+        return reduce(DataFrame.unionByName, found)
+
 
 def store_day(
     items: DataFrame,
@@ -69,23 +97,41 @@ def store_day(
     pages: DataFrame | None = None,
     snapshots: str | None = None,
     with_claims: bool = False,
+    run_reports: str | None = None,
 ) -> Tracked:
-    """Ingest, label, track and (optionally) ground claims; state is written."""
+    """Ingest, label, track and (optionally) ground claims; state is written.
+
+    Under ``run_reports`` go what was skipped, rejected and counted, and the requests whose
+    replies the next run of the date can use.
+    """
     ingested = ingest(items, today, cap, pages)
     labeled = label(ingested.articles, store.read("article_labels"), replies.labels)
     batch = cut(labeled.labeled)
+    history = load_history(store)
+    if run_reports:
+        day = F.lit(today).cast("date")
+        labels = batch.groupBy("story_label").agg(F.min("ordinal").alias("first_ordinal"))
+        skips = ingested.skips.orderBy(F.desc("items"), "skip_reason", "source")
+        write_rows(skips, f"{run_reports}/skips")
+        write_rows(label_requests(labeled.misses), f"{run_reports}/label_requests")
+        write_rows(group_requests(labels), f"{run_reports}/group_requests")
+        recent = recent_stories(history.stories, history.daily, day)
+        write_rows(match_requests(labels, recent), f"{run_reports}/match_requests")
+        write_rows(replies.rejects(), f"{run_reports}/rejects")
     store.replace_keys("article_labels", labeled.new_cache_rows)
     if snapshots:
         write_daily_snapshot(batch, snapshots, today)
     tracked = track(
         batch,
-        load_history(store),
+        history,
         today,
         group_replies(replies.groups),
         match_replies(replies.matches),
     )
     # The context is kept per story; repeated on every article it would be most of the batch.
     tracked.articles = cut(tracked.articles.drop("previous_context"))
+    if run_reports:
+        write_rows(tracking_counters(tracked.stories), f"{run_reports}/tracking_counters")
     save_tracking(store, tracked, today)
     if with_claims:
         run = ground_claims(
@@ -95,6 +141,10 @@ def store_day(
             replies.claims,
             order="track_order",
         )
+        if run_reports:
+            write_rows(run.counters(), f"{run_reports}/claim_counters")
+            wanted = run.misses.select("article_id", "story_id", "content")
+            write_rows(wanted, f"{run_reports}/claim_requests")
         save_claims(store, run)
     return tracked
 
@@ -156,6 +206,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description="Track the stories of one day.")
     parser.add_argument("--today", default=None, help="run date, yyyy-mm-dd")
     parser.add_argument("--feeds", required=True, help="folder of landed feed files")
+    parser.add_argument(
+        "--catalogue", default=None,
+        help="JSON lines (source_rank, source, language, url) instead of the built-in feeds",
+    )
     parser.add_argument("--pages", default=None, help="Parquet of landed pages (url, html)")
     parser.add_argument("--replies", default=None, help="folder of landed replies")
     parser.add_argument("--state", required=True, help="folder of the state tables")
@@ -176,8 +230,11 @@ def main(argv: list[str] | None = None) -> None:
     spark = job_session()
     store = StateStore(spark, args.scratch_state or args.state)
     replies = Replies.read(spark, args.replies)
+    catalogue = None
+    if args.catalogue:
+        catalogue = spark.read.schema(_CATALOGUE).json(args.catalogue)
     tracked = store_day(
-        read_feeds(spark, args.feeds),
+        read_feeds(spark, args.feeds, catalogue),
         store,
         replies,
         today,
@@ -185,6 +242,7 @@ def main(argv: list[str] | None = None) -> None:
         None if args.pages is None else spark.read.parquet(args.pages),
         f"{store.root}/snapshots",
         args.show_evidence,
+        f"{args.out}/run_{today}",
     )
     report_day(
         tracked,

@@ -231,7 +231,13 @@ def _state_rows(tracked: DataFrame, stories: DataFrame, day: Column) -> dict[str
 
 
 def save_tracking(store: StateStore, tracked: Tracked, today: str) -> None:
-    """Rebuild the date in every table; ``story_daily`` goes last as commit mark."""
+    """Rebuild the date in every table; ``story_daily`` goes last as commit mark.
+
+    A batch without articles leaves the state as it is: an empty or unreadable landing must
+    not undo a day that was stored before.
+    """
+    if tracked.stories.isEmpty():
+        return
     if not tracked.new_stories.isEmpty():
         store.append("stories", tracked.new_stories)
     for name in ("articles", "story_observations", "article_story_links", "story_daily"):
@@ -247,8 +253,35 @@ def load_history(store: StateStore) -> History:
     )
 
 
+def tracking_counters(stories: DataFrame) -> DataFrame:
+    """One row of a run: labels of the day, stories they went to, and new ones among them."""
+    return stories.agg(
+        F.count("*").alias("labels"),
+        F.count_distinct("story_id").alias("stories"),
+        F.count_if("is_new").alias("new_stories"),
+    )
+
+
+def match_requests(labels: DataFrame, recent: DataFrame, part_size: int = 5000) -> DataFrame:
+    """(kind, part, request): today's labels, and those of recent stories to match them with."""
+    known = recent.select(F.col("canonical_label").alias("story_label")).distinct()
+    numbered = number_rows(known, [F.col("story_label")]).select(
+        "story_label", F.col("position").cast("bigint").alias("first_ordinal")
+    )
+    return (
+        label_requests(labels, part_size)
+        .withColumn("kind", F.lit("today"))
+        .unionByName(label_requests(numbered, part_size).withColumn("kind", F.lit("recent")))
+        .select("kind", "part", "request")
+    )
+
+
 def label_requests(labels: DataFrame, part_size: int = 5000) -> DataFrame:
-    """Today's labels as JSON arrays of at most ``part_size``, in order of appearance."""
+    """Today's labels as JSON arrays of at most ``part_size``, in order of appearance.
+
+    A reply to one part may name labels of any other part; labels that must be seen
+    together need a larger ``part_size``.
+    """
     numbered = positions(labels, [], "first_ordinal", name="_position").withColumn(
         "part", F.floor((F.col("_position") - 1) / part_size)
     )

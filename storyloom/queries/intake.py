@@ -35,7 +35,7 @@ GROUP BY GROUPING SETS ((skip_reason, source), (skip_reason))
 def skip_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that do not belong to a run date, by reason and source."""
     target = F.lit(_TARGET).cast("date")
-    rows = a.articles(spark, sf_dir, spread=True)
+    rows = a.articles(spark, sf_dir)
     return report_skips(rows.withColumn("skip_reason", skip_reason("published_at", target)))
 
 
@@ -48,7 +48,7 @@ FROM art
 """)
 def published_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mail dates parsed to a UTC day and a report time."""
-    rows = a.articles(spark, sf_dir, spread=True).withColumn("_at", parse_reported("published_at"))
+    rows = a.articles(spark, sf_dir).withColumn("_at", parse_reported("published_at"))
     return rows.select(
         "id",
         "published_at",
@@ -148,13 +148,13 @@ FROM lines
 @query(_sql_main_text())
 def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article text of every landed page."""
-    return page_text(a.table(spark, sf_dir, "pages", spread=True).select("page_id", "html"))
+    return page_text(a.table(spark, sf_dir, "pages").select("page_id", "html"), nested=False)
 
 
 @query(_sql_main_text())
 def main_text_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Article text read by the markup parser."""
-    return page_text(a.table(spark, sf_dir, "pages", spread=True).select("page_id", "html"), nested=True)
+    return page_text(a.table(spark, sf_dir, "pages").select("page_id", "html"), nested=True)
 
 
 @query(f"""
@@ -167,7 +167,7 @@ FROM (SELECT *, regexp_replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g') ||
 """)
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes that tell whether stored labels and claims still fit a text."""
-    rows = a.texts(spark, sf_dir, spread=True).withColumn("c", claim_input("title", "description"))
+    rows = a.texts(spark, sf_dir).withColumn("c", claim_input("title", "description"))
     return rows.select(
         "id",
         content_hash("title", "description").alias("content_hash"),

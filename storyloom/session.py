@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 # Settings the jobs are written for. Shuffle width is left to AQE: start wide,
 # let it coalesce. Dynamic partition overwrite makes a date rebuild touch one date.
 JOB_SETTINGS = {
@@ -29,22 +32,32 @@ def job_session(app_name: str = "storyloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a scratch one if unset."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
+def run_folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Only a local master may leave it unset; it then gets a scratch folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="storyloom-ckpt-"))
-    return named or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="spark-storyloom-")
+    return _LOCAL_FOLDERS[application]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written files.
+    """Write ``df`` as Parquet to the shared folder and continue from the written table.
 
     Used where a result must not change when the tables it was read from do,
-    such as ids that are about to be written back to those tables.
+    such as ids that are about to be written back to those tables. Later reads
+    take only the columns they need.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{run_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.constants import FEEDS
@@ -46,11 +46,27 @@ def parse_items(feeds: DataFrame, xml: Column | str = "xml") -> DataFrame:
 
 
 def read_feeds(spark: SparkSession, path: str, catalogue: DataFrame | None = None) -> DataFrame:
-    """Feed files landed as ``<path>/<source>.xml``, one file per feed and day."""
+    """Feed files landed as ``<path>/<source>.xml``.
+
+    Feeds outside of ``catalogue`` are kept, without a language, after those inside.
+    Files are numbered in catalogue order, then by name and path, so items of several files
+    of one feed never share an ordinal.
+    """
     catalogue = feed_catalogue(spark) if catalogue is None else catalogue
     name = F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), r"([^/]+)\.xml$", 1)
     landed = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("xml"), name.alias("source")
+        F.col("value").alias("xml"), name.alias("source"), F.input_file_name().alias("file")
+    )
+    known = catalogue.select("source", "language", F.col("source_rank").alias("_rank"))
+    # Only names are numbered in one place: one row a landed file.
+    order = Window.orderBy(F.asc_nulls_last("_rank"), "source", "file")
+    files = (
+        landed.select("source", "file")
+        .join(known, "source", "left")
+        .select(
+            "file",
+            F.coalesce("language", F.lit("")).alias("language"),
+            (F.row_number().over(order) - 1).cast("bigint").alias("source_rank"),
+        )
     )
-    # The catalogue is the short fixed list of feeds.
-    return parse_items(landed.join(F.broadcast(catalogue.drop("url")), "source"))
+    return parse_items(landed.join(files, "file"))

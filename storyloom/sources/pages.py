@@ -68,12 +68,12 @@ def _parse(html: str | None, skip: set[str]) -> str:
     return parser.text()
 
 
-def page_text(pages: DataFrame, nested: bool = False, skip_tags: list[str] = SKIP_TAGS) -> DataFrame:
+def page_text(pages: DataFrame, nested: bool = True, skip_tags: list[str] = SKIP_TAGS) -> DataFrame:
     """Add ``text`` to pages with an ``html`` column.
 
-    The built-in form reads flat markup inside the scan. ``nested=True`` hands
-    pages to a parser in Arrow batches, for articles or skipped blocks that
-    contain their own kind.
+    Pages go to a parser in Arrow batches. ``nested=False`` reads markup that is known to be
+    flat inside the scan: no article or skipped block that contains its own kind, no ``>`` in
+    an attribute.
     """
     if not nested:
         return pages.withColumn("text", main_text("html", skip_tags)).drop("html")
@@ -89,7 +89,7 @@ def page_text(pages: DataFrame, nested: bool = False, skip_tags: list[str] = SKI
     return pages.mapInPandas(parse, schema)
 
 
-def attach_text(articles: DataFrame, pages: DataFrame, nested: bool = False) -> DataFrame:
+def attach_text(articles: DataFrame, pages: DataFrame, nested: bool = True) -> DataFrame:
     """Article text from its landed page; empty where no page was landed."""
     wanted = pages.select("url", "html").join(articles.select("url"), "url", "left_semi")
     texts = page_text(wanted, nested).groupBy("url").agg(F.max("text").alias("text"))

@@ -106,7 +106,11 @@ def match_replies(replies: DataFrame) -> DataFrame:
 
 
 def briefing_replies(replies: DataFrame) -> DataFrame:
-    """(canonical_label, briefing, delta_summary); of several for a label the last."""
+    """(canonical_label, briefing, delta_summary); of several for a label and part the last.
+
+    A story whose request came in parts has a reply for each, marked with its ``part`` (none
+    means the first); their texts follow each other in part order.
+    """
     item = F.col("item")
 
     def text(name: str) -> Column:
@@ -115,14 +119,24 @@ def briefing_replies(replies: DataFrame) -> DataFrame:
     delta = F.coalesce(F.nullif(text("delta_summary"), F.lit("")), text("delta"))
     rows = reply_items(replies, "briefings").filter(is_type(item, "OBJECT")).select(
         field(item, "canonical_label", "string").alias("canonical_label"),
+        F.coalesce(field(item, "part", "bigint"), F.lit(0)).alias("part"),
         F.struct(text("briefing").alias("briefing"), delta.alias("delta_summary")).alias("_text"),
         "item_pos",
     )
+
+    def merged(name: str) -> Column:
+        texts = F.transform("_parts", lambda p: p["_text"][name])
+        some = F.filter(texts, lambda t: ~is_blank(t))
+        return F.when(F.size("_parts") == 1, texts[0]).otherwise(F.array_join(some, "\n\n")).alias(name)
+
     return (
         rows.filter(F.col("canonical_label").isNotNull())
-        .groupBy("canonical_label")
+        .groupBy("canonical_label", "part")
         .agg(F.max_by("_text", "item_pos").alias("_text"))
-        .select("canonical_label", "_text.*")
+        .groupBy("canonical_label")
+        # One entry a request part.
+        .agg(F.sort_array(F.collect_list(F.struct("part", "_text"))).alias("_parts"))
+        .select("canonical_label", merged("briefing"), merged("delta_summary"))
     )
 
 
@@ -156,15 +170,3 @@ def replied_articles(replies: DataFrame) -> DataFrame:
     good = _parsed(replies, "claims").filter(F.col("reject_reason").isNull())
     return good.select("article_id").distinct()
 
-
-__all__ = [
-    "briefing_replies",
-    "claim_replies",
-    "group_replies",
-    "label_replies",
-    "match_replies",
-    "payload_replies",
-    "replied_articles",
-    "reply_items",
-    "reply_rejects",
-]

@@ -94,3 +94,51 @@ def test_scratch_state_leaves_the_state_alone(spark, tmp_path):
     _main(tmp_path, DAY_1, "--scratch-state", str(tmp_path / "scratch"), "--skip-briefing", "--skip-edition")
     assert not (tmp_path / "state").exists()
     assert StateStore(spark, str(tmp_path / "scratch")).read("articles").count() == 1
+
+
+def test_empty_rerun_keeps_the_day(spark, tmp_path):
+    _feed(tmp_path / f"feeds-{DAY_1}", "NOS", ("T", "https://example.com/1", "", "Sat, 18 Apr 2026 10:00:00 GMT"))
+    _main(tmp_path, DAY_1, "--skip-briefing", "--skip-edition")
+    (tmp_path / f"feeds-{DAY_1}" / "NOS.xml").write_text("<rss><chan")
+    _main(tmp_path, DAY_1, "--skip-briefing", "--skip-edition")
+    store = StateStore(spark, str(tmp_path / "state"))
+    assert store.read("articles").count() == 1
+    assert store.read("story_daily").count() == 1
+
+
+def test_unknown_feeds_and_run_reports(spark, tmp_path):
+    feeds = tmp_path / f"feeds-{DAY_1}"
+    _feed(feeds, "My Feed", ("A", "https://example.com/a", "d", "Sat, 18 Apr 2026 10:00:00 GMT"))
+    _feed(feeds, "NOS", ("B", "https://example.com/b", "", "Sat, 18 Apr 2026 10:00:00 GMT"), ("C", "https://example.com/c", "", "x"))
+    answers = tmp_path / f"replies-{DAY_1}"
+    (answers / "matches").mkdir(parents=True)
+    (answers / "matches" / "part.json").write_text(json.dumps({"reply_no": 3, "article_id": None, "reply": "{"}) + "\n")
+    out = _main(tmp_path, DAY_1, "--show-evidence", "--skip-briefing", "--skip-edition")
+    articles = StateStore(spark, str(tmp_path / "state")).read("articles").collect()
+    assert {(r["source"], r["title"]) for r in articles} == {("My Feed", "A"), ("NOS", "B")}
+    run = out / f"run_{DAY_1}"
+
+    def rows(name):
+        return spark.read.parquet(str(run / name)).collect()
+
+    assert [r["reject_reason"] for r in rows("rejects")] == ["invalid_json"]
+    assert sum(r["items"] for r in rows("skips") if r["source"] is None) == 1
+    assert json.loads(rows("label_requests")[0]["request"])[0]["title"] == "B"  # catalogue feeds first
+    counters = rows("tracking_counters")[0]
+    assert (counters["labels"], counters["stories"], counters["new_stories"]) == (1, 1, 1)
+    assert {r["kind"] for r in rows("match_requests")} == {"today"}
+    assert len(rows("claim_requests")) == 2
+
+
+def test_replies_to_parts_are_merged_in_order(spark):
+    from helpers import replies
+    from storyloom.sources.replies import briefing_replies
+
+    def reply(*items):
+        return json.dumps({"briefings": list(items)})
+
+    first = {"canonical_label": "A", "briefing": "one", "delta_summary": "d"}
+    second = {"canonical_label": "A", "part": 1, "briefing": "two"}
+    old = {"canonical_label": "A", "part": 1, "briefing": "old"}
+    found = briefing_replies(replies(spark, reply(old), reply(second, first))).collect()
+    assert [(r["canonical_label"], r["briefing"], r["delta_summary"]) for r in found] == [("A", "one\n\ntwo", "d")]
