@@ -51,7 +51,10 @@ def claim_reply_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             confidence, F.lit("}"),
         )
 
-    quoted = F.lower(F.replace(F.substring("text", 5, 60), F.lit(" "), F.lit(" \n ")))
+    # From the start, the middle or the end of a text.
+    start = 5 + (doc % 3) * F.floor(F.greatest(F.length("text") - 64, F.lit(0)) / 2)
+    quoted = F.substring("text", start.cast("int"), F.lit(60))
+    quoted = F.lower(F.replace(quoted, F.lit(" "), F.lit(" \n ")))
     sound = claim(F.lit("fact"), F.lit('["x"," y "]'), quoted, F.lit("0.9"))
     faulty = claim(
         F.when(kind == 0, F.lit("rumor")).otherwise(F.lit("quote")),
@@ -90,12 +93,12 @@ inputs AS (
   FROM texts
 ),
 proposed AS (
-  SELECT doc_id, 0 AS pos, lower(replace(substring(text, 5, 60), ' ', ' ' || chr(10) || ' ')) AS span,
+  SELECT doc_id, 0 AS pos, lower(replace(substring(text, CAST(5 + (doc_id % 3) * (greatest(length(text) - 64, 0) // 2) AS BIGINT), 60), ' ', ' ' || chr(10) || ' ')) AS span,
          NULL AS fault, 0.9 AS confidence, 'x|y' AS entities, 'fact' AS claim_type
   FROM documents
   UNION ALL
   SELECT doc_id, 1, CASE doc_id % 8 WHEN 1 THEN '' WHEN 2 THEN 'Zz never said'
-                    ELSE lower(replace(substring(text, 5, 60), ' ', ' ' || chr(10) || ' ')) END,
+                    ELSE lower(replace(substring(text, CAST(5 + (doc_id % 3) * (greatest(length(text) - 64, 0) // 2) AS BIGINT), 60), ' ', ' ' || chr(10) || ' ')) END,
          CASE doc_id % 8 WHEN 0 THEN 'unknown_type' WHEN 4 THEN 'bad_entities'
                          WHEN 5 THEN 'bad_entities' WHEN 3 THEN 'bad_confidence'
                          WHEN 6 THEN 'bad_confidence' WHEN 7 THEN 'bad_confidence' END,
