@@ -12,7 +12,8 @@ from storyloom.functions.text import content_hash
 from storyloom.operators.merging import label_clusters as cluster_labels
 from storyloom.operators.merging import merge_labels
 from storyloom.operators.tables import upsert
-from storyloom.plans.labels import cached_labels, with_labels
+from storyloom.plans.labels import cached_labels
+from storyloom.plans.labels import label as label_plan
 from storyloom.plans.labels import label_requests as build_requests
 from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
@@ -175,11 +176,8 @@ FROM texts t LEFT JOIN labeled l USING (id)
 """)
 def label_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article with its label: stored, from a reply, or the default."""
-    rows = a.texts(spark, sf_dir)
-    hits = cached_labels(rows, label_cache(spark, sf_dir))
-    answers = label_replies(label_reply_texts(spark, sf_dir)).withColumnRenamed("article_id", "id")
-    fresh = answers.join(hits.select("id"), "id", "left_anti").select(*hits.columns)
-    return with_labels(rows, hits.unionByName(fresh)).select(
+    run = label_plan(a.texts(spark, sf_dir), label_cache(spark, sf_dir), label_reply_texts(spark, sf_dir))
+    return run.labeled.select(
         "id", "theme", "story_label", F.col("importance").cast("bigint").alias("importance")
     )
 
@@ -201,20 +199,9 @@ SELECT article_id, content_hash, theme, story_label, CAST(importance AS BIGINT)
 """)
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label cache after a run; a new label replaces whatever the article had."""
-    rows, cache = a.texts(spark, sf_dir), label_cache(spark, sf_dir)
-    hits = cached_labels(rows, cache)
-    answers = label_replies(label_reply_texts(spark, sf_dir)).withColumnRenamed("article_id", "id")
-    changes = (
-        rows.join(hits.select("id"), "id", "left_anti")
-        .join(answers, "id")
-        .select(
-            F.col("id").alias("article_id"), "url", "title", "description",
-            content_hash("title", "description").alias("content_hash"),
-            "theme", "story_label", "importance",
-            F.lit(LABEL_MODEL).alias("model"), F.lit(LABEL_VERSION).alias("version"),
-        )
-    )
-    return upsert(cache, changes, ["article_id"]).select(
+    cache = label_cache(spark, sf_dir)
+    run = label_plan(a.texts(spark, sf_dir), cache, label_reply_texts(spark, sf_dir))
+    return upsert(cache, run.new_cache_rows, ["article_id"]).select(
         "article_id", "content_hash", "theme", "story_label",
         F.col("importance").cast("bigint").alias("importance"), "model", "version",
     )

@@ -30,6 +30,7 @@ from storyloom.plans.edition import edition_rows as rows_of_edition
 from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
 from storyloom.session import cut
+from storyloom.sources.replies import briefing_replies as read_briefings
 
 _STAMP = "2024-01-31 06:00"
 _GLOBAL_N = 10
@@ -523,3 +524,30 @@ def request_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         "canonical_label", F.col("part").cast("int").alias("part"),
         F.col("articles").cast("bigint").alias("articles"), F.sha2("request", 256).alias("request_hash"),
     )
+
+
+@query("""
+WITH last AS (
+  SELECT doc_id % 40 AS k, doc_id % 3 AS part, max(doc_id) AS d FROM documents GROUP BY ALL
+)
+SELECT 'Story ' || k AS canonical_label,
+       string_agg('text ' || d, chr(10) || chr(10) ORDER BY part) AS briefing,
+       coalesce(string_agg(CASE WHEN d % 2 = 0 THEN 'change ' || d END, chr(10) || chr(10) ORDER BY part), '')
+         AS delta_summary
+FROM last GROUP BY k
+""")
+def briefing_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to the parts of a story's request, the last of each part, in part order."""
+    doc = F.col("doc_id")
+    item = F.struct(
+        F.concat(F.lit("Story "), doc % 40).alias("canonical_label"),
+        F.when(doc % 3 > 0, doc % 3).alias("part"),
+        F.concat(F.lit(" text "), doc).alias("briefing"),
+        F.when(doc % 2 == 0, F.concat(F.lit("change "), doc)).otherwise(" ").alias("delta_summary"),
+    )
+    replies = a.table(spark, sf_dir, "documents").select(
+        doc.alias("reply_no"),
+        F.lit(None).cast("string").alias("article_id"),
+        F.to_json(F.struct(F.array(item).alias("briefings"))).alias("reply"),
+    )
+    return read_briefings(replies)
