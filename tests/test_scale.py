@@ -57,3 +57,13 @@ def test_first_per_key(spark):
     df = _skewed(spark)
     got = {r["key"]: r["ordinal"] for r in first_per_key(df, ["key"]).collect()}
     assert got == {k: o for (k, o), p in _expected(df).items() if p == 1}
+
+
+def test_large_and_small_k_give_the_same_rows(spark, monkeypatch):
+    from storyloom.operators import ranking
+
+    rows = spark.range(500).selectExpr("id % 3 AS k", "id", "(id * 37) % 101 AS v")
+    order = [F.desc("v"), F.col("id")]
+    small = sorted(map(tuple, ranking.top_per_group(rows, ["k"], order, 20).collect()))
+    monkeypatch.setattr(ranking, "_PRUNED_K", 5)
+    assert sorted(map(tuple, ranking.top_per_group(rows, ["k"], order, 20).collect())) == small
