@@ -38,7 +38,7 @@ CLASSES = 128
 SINGLES = 64  # words with classes of their own, after the end token's class 0
 SHARED = CLASSES - SINGLES - 1
 STATE = 32
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 
 TRAIN_ONE_IN = 8
 ROUNDS = 3
