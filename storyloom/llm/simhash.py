@@ -34,16 +34,24 @@ HASH_SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """A bit is one if it is set in over half of the shingles' hashes, repeats included."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Of a text's runs of words, in order; a text of fewer words is one."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) <= shingle:
-        return xxh64_intdigest(b" ".join(words), HASH_SEED)
+        return np.array([xxh64_intdigest(b" ".join(words), HASH_SEED)], np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     n = len(words) - shingle + 1
-    hashes = np.fromiter(map(xxh64_intdigest, grams, repeat(HASH_SEED)), np.uint64, n)
+    return np.fromiter(map(xxh64_intdigest, grams, repeat(HASH_SEED)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """A bit is one if it is set in over half of the shingles' hashes, repeats included."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if n <= 1:
+        return int(hashes[0]) if n else 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 4096):
         bits = np.unpackbits(
@@ -205,10 +213,14 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     Where rows repeat that doc_id, the one with the smallest hash of its text stays. Rows
     without a doc_id can't be told apart, so they all stay.
     """
+    placed = _placed(docs.where("doc_id IS NOT NULL"), shingle, max_bits)
+    return keep_least(docs, placed.where("doc_id = component_id"))
+
+
+def keep_least(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root in ``placed (doc_id, text_hash, root)``."""
     kept = settle(
-        _placed(docs.where("doc_id IS NOT NULL"), shingle, max_bits)
-        .where("doc_id = component_id")
-        .groupBy("root", "doc_id", "text_hash")
+        placed.groupBy("root", "doc_id", "text_hash")
         .agg(F.count(F.lit(1)).alias("copies"))
         .groupBy("root")
         .agg(F.min(F.struct("doc_id", "text_hash", "copies")).alias("_kept"))

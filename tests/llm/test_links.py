@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from cases import documents, labels, prose, texts  # noqa: E402
 
-from storyloom.llm import components, repeats, simhash, sketches, topk  # noqa: E402
+from storyloom.llm import components, repeats, similar, simhash, sketches, topk  # noqa: E402
 
 
 def _fingerprint(text):
@@ -74,6 +74,21 @@ def test_keep_one_row_of_each_group(spark):
     assert simhash.keep_one(documents(spark, [])).count() == 0
 
 
+def test_similar_texts_are_found_whatever_their_bits(spark, monkeypatch):
+    words = prose(31, 300).split()
+    near = [" ".join([*words[:k], *(f"new{k}x{i}" for i in range(n)), *words[k + n :]]) for n in (5, 20, 26, 60) for k in range(10, 220, 30)]
+    rows = [r for r in texts() if r[0] is not None] + [(500 + i, t) for i, t in enumerate(near)]
+    shingles = [similar.shingle_set((t or "").encode(), 5) for _, t in rows]
+    roots = _roots(shingles, lambda a, b: not len(a) + len(b) or 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)))
+    expected = sorted(min(rows[j][0] for j in range(len(rows)) if roots[j] == r) for r in set(roots))
+    assert simhash.keep_one(documents(spark, rows)).count() > len(expected)  # too few bits
+    for rounds in (3, 1):
+        monkeypatch.setattr(similar, "STAR_ROUNDS", rounds)
+        kept = similar.keep_one(documents(spark, rows)).collect()
+        assert sorted(r.doc_id for r in kept) == expected
+    assert similar.keep_one(documents(spark, [])).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (3, None), (5, 6)]
     found = components.component_roots(spark.createDataFrame(links, "a bigint, b bigint")).collect()
