@@ -3,9 +3,9 @@
 A naive Bayes classifier over binned text statistics, fitted on the labelled rows, gives
 every document a posterior over domains. Nonnegative document rates are then fitted so that
 the expected token total of every domain, the sum of rate * tokens * posterior, meets its
-target: least squares by projected gradient. A gradient step needs only one sum per domain
-over all documents, and the rate of a document follows from its posterior and the steps
-taken, so no vector of rates is ever kept or moved.
+target: least squares, projected on the least rate. A step needs only sums per domain and
+pair of domains over all documents, and the rate of a document follows from its posterior
+and one number per domain, so no vector of rates is ever kept or moved.
 
 Everything over rows is SQL functions; the driver sees the bin counts and one row a step.
 
@@ -17,7 +17,6 @@ no rows.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +26,8 @@ from pyspark.sql import functions as F
 from storyloom.llm.shared import settle, whole_rows, whole_text
 
 BINS = 16
+# Weight of the rates' distance from one beside the targets' residuals.
+RIDGE = 1e-6
 
 
 def _log_bin(x: Column) -> Column:
@@ -131,20 +132,26 @@ def fit_classifier(
 
 @dataclass(frozen=True)
 class Mixture:
-    """A fitted classifier and the steps that lead from rate one to the fitted rates."""
+    """A fitted classifier, the domains' pulls that give the rates, and the totals met."""
 
     classifier: Classifier
-    steps: list[list[float]]
+    pull: list[float]
     least_rate: float
     targets: list[float]
     reached: list[float]
 
     def rate(self, posterior: list[Column]) -> Column:
-        rate = F.greatest(F.lit(1.0), F.lit(self.least_rate))
-        for step in self.steps:
-            move = sum((F.lit(s) * p for s, p in zip(step, posterior, strict=True)), F.lit(0.0))
-            rate = F.greatest(F.lit(self.least_rate), rate - move)
-        return rate
+        return _projected(_pulled(self.pull, posterior), self.least_rate)
+
+
+def _pulled(pull: list[float], posterior: list[Column]) -> Column:
+    # One literal: compiled code is the same for all steps.
+    values = F.split(F.lit(",".join(map(repr, pull))), ",").cast("array<double>")
+    return sum((F.element_at(values, i + 1) * p for i, p in enumerate(posterior)), F.lit(0.0))
+
+
+def _projected(move: Column, least_rate: float) -> Column:
+    return F.greatest(F.lit(least_rate), F.lit(1.0) - move)
 
 
 def fit_rates(
@@ -153,55 +160,76 @@ def fit_rates(
     weights: dict[str, float] | None,
     flatten: float,
     least_rate: float,
-    tolerance: float = 1e-4,
-    max_steps: int = 40,
+    tolerance: float = 1e-6,
+    max_steps: int = 100,
 ) -> Mixture:
-    """Projected gradient over ``scored (tokens, p0, p1, ...)``, until the totals are within
-    ``tolerance`` of the whole of their targets or a step gains less than a hundredth.
+    """Rates over ``scored (tokens, p0, p1, ...)`` that meet the targets as nearly as can be.
 
     Targets are the given weights, or the domains' own token shares to the power
-    ``flatten``, times the smallest total in which no domain has to shrink. Steps are taken
-    in the metric of tokens, and residuals in that of the inverse of the domains' Gram
-    matrix, for which the gradient's Lipschitz constant is one: the step size is one.
+    ``flatten``, times the smallest total in which no domain has to shrink. The sum of
+    squared residuals, in the metric of the inverse of the domains' Gram matrix, and
+    ``RIDGE`` times the squared distance of the rates from one, in that of tokens, is least
+    where every rate is ``max(least_rate, 1 - pull * posterior)`` for one pull a domain.
+    The pulls are found on the convex dual by Newton steps that are halved until they gain,
+    so no step is farther from the targets' optimum than the one before. Steps end when the
+    residual or the gradient is within ``tolerance`` of the whole.
     """
     k = len(classifier.domains)
     ps = [F.col(f"p{i}") for i in range(k)]
-    gram = scored.agg(
-        *[
-            F.coalesce(F.sum(F.col("tokens") * ps[i] * ps[j]), F.lit(0.0)).alias(f"g{i}_{j}")
-            for i in range(k)
-            for j in range(k)
-        ],
-        *[F.coalesce(F.sum(F.col("tokens") * p), F.lit(0.0)).alias(f"s{i}") for i, p in enumerate(ps)],
-    ).first()
-    have = np.array([gram[f"s{i}"] for i in range(k)])
-    inverse = np.linalg.pinv(np.array([[gram[f"g{i}_{j}"] for j in range(k)] for i in range(k)]))
+    tokens = F.col("tokens")
+
+    def sums(columns: dict[str, Column]) -> dict[str, float]:
+        return scored.agg(
+            *[F.coalesce(F.sum(tokens * c), F.lit(0.0)).alias(n) for n, c in columns.items()]
+        ).first().asDict()
+
+    def matrix(row: dict[str, float]) -> np.ndarray:
+        return np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+
+    products = {f"g{i}_{j}": ps[i] * ps[j] for i in range(k) for j in range(i, k)}
+    row = sums(products | {f"s{i}": p for i, p in enumerate(ps)})
+    gram, have = matrix(row), np.array([row[f"s{i}"] for i in range(k)])
     wanted = np.array(
         [have[i] ** flatten if weights is None else weights.get(d, 0.0) for i, d in enumerate(classifier.domains)]
     )
     wanted = np.where(have > 0, wanted, 0.0)
     if not wanted.sum() > 0:
-        return Mixture(classifier, [], least_rate, [0.0] * k, have.tolist())
+        return Mixture(classifier, [0.0] * k, least_rate, [0.0] * k, have.tolist())
     wanted = wanted / wanted.sum()
     total = max(h / w for h, w in zip(have, wanted, strict=True) if w > 0)
     target = total * wanted
 
-    def mixture(steps: list[list[float]], reached: np.ndarray) -> Mixture:
-        return Mixture(classifier, steps, least_rate, target.tolist(), reached.tolist())
+    def look(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """The dual's value, gradient and curvature, and the totals reached."""
+        move = _pulled(pull.tolist(), ps)
+        free = F.greatest(F.lit(0.0), 1.0 - move - least_rate)
+        row = sums(
+            {n: F.when(free > 0, c).otherwise(0.0) for n, c in products.items()}
+            | {f"s{i}": _projected(move, least_rate) * p for i, p in enumerate(ps)}
+            | {"value": free * free / 2 - least_rate * move}
+        )
+        reached = np.array([row[f"s{i}"] for i in range(k)])
+        value = row["value"] + target @ pull + RIDGE / 2 * pull @ gram @ pull
+        slope = RIDGE * gram @ pull - reached + target
+        return value, slope, matrix(row) + RIDGE * gram, reached
 
-    steps: list[list[float]] = []
-    reached, error = have, math.inf
+    pull = np.zeros(k)
+    value, slope, curve, reached = look(pull)
     for _ in range(max_steps):
-        residual = reached - target
-        now = float(np.linalg.norm(residual)) / total
-        if now < tolerance or error - now < 0.01 * now:
+        if min(np.linalg.norm(reached - target), np.linalg.norm(slope)) < tolerance * total:
             break
-        error = now
-        steps.append((inverse @ residual).tolist())
-        rate = mixture(steps, reached).rate(ps)
-        row = scored.agg(*[F.sum(F.col("tokens") * rate * p).alias(f"s{i}") for i, p in enumerate(ps)]).first()
-        reached = np.array([row[f"s{i}"] for i in range(k)])
-    return mixture(steps, reached)
+        step = -np.linalg.lstsq(curve, slope, rcond=1e-12)[0]
+        size = 1.0
+        while size > 1e-6:
+            found = look(pull + size * step)
+            if found[0] <= value + 1e-4 * size * float(slope @ step):
+                break
+            size /= 2
+        else:
+            break  # no gain is left in doubles
+        pull = pull + size * step
+        value, slope, curve, reached = found
+    return Mixture(classifier, pull.tolist(), least_rate, target.tolist(), reached.tolist())
 
 
 def _copies(rate: Column) -> Column:

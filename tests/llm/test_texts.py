@@ -145,6 +145,28 @@ def test_mixing_meets_targets(spark):
     assert kept.select("doc_id").distinct().count() == 120
 
 
+@pytest.mark.parametrize("least", [0.0, 1.0])
+def test_rates_are_as_near_as_a_converged_solver(spark, least):
+    draw = np.random.default_rng(11)
+    p = draw.dirichlet([0.3] * 3 + [0.05], 400)
+    tokens = draw.integers(1, 300, 400).astype(float)
+    scored = spark.createDataFrame([(t, *map(float, q)) for t, q in zip(tokens.tolist(), p)], "tokens double, p0 double, p1 double, p2 double, p3 double")
+    known = mixing.Classifier(list("abcd"), [0.0] * 4, [])
+    mixture = mixing.fit_rates(scored, known, None, 0.3, least)
+    target, inverse = np.array(mixture.targets), np.linalg.inv((p.T * tokens) @ p)
+    rate, errors = np.ones(400), []
+    for _ in range(50_000):
+        residual = (tokens * rate) @ p - target
+        errors.append(float(residual @ inverse @ residual))
+        rate = np.maximum(least, rate - p @ (inverse @ residual))
+    residual = np.array(mixture.reached) - target
+    assert residual @ inverse @ residual <= 1.001 * min(errors) + 1e-4 * errors[0]
+    assert errors[0] > 10 * min(errors)
+    rates = [r.rate for r in scored.select(mixture.rate([scored[f"p{i}"] for i in range(4)]).alias("rate")).collect()]
+    assert min(rates) >= least
+    assert (tokens * rates) @ p == pytest.approx(mixture.reached)
+
+
 def test_mixing_without_labels_or_rows(spark):
     docs = documents(spark)
     assert mixing.mix(docs, labels(spark), ["quality"]).count() == docs.count()
