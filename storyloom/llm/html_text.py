@@ -61,8 +61,10 @@ _TAG = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*+(?:>|\Z))",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_NAME_WORD = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Elements that are never dropped for a name of theirs; in an article, headers neither.
+_WHOLE = frozenset("html body main article".split())
+_HEADERS = frozenset("header masthead banner".split())
 
 
 @dataclass
@@ -81,13 +83,17 @@ def _is_part(name: str, attrs: str, in_main: bool) -> bool:
         return False
     for key, *values in _ATTRIBUTE.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and not _PART_WORDS.isdisjoint(_NAME_WORD.findall(value)):
-            return True
+        if key in ("class", "id") and name not in _WHOLE:
+            found = _PART_WORDS.intersection(value.split())
+            if found - _HEADERS if in_main else found:
+                return True
         if key == "role" and value in _ROLES:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|>|$)", attrs))
+        if key == "hidden":
+            return True
+    return False
 
 
 def lines(html: str) -> list[Line]:

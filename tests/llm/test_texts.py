@@ -221,6 +221,9 @@ PAGES = [
     (None, ""),
     ("", ""),
     ("<nav>only</nav>", ""),
+    ('<html class="no-js has-popup"><body class="has-sidebar sidebar"><p>One line.</p></body>', "One line."),
+    ('<article class="post no-comments related"><div class="post-header header"><h1>Title</h1></div><p>Text.</p><div class="comments">No</div></article>', "Title\nText."),
+    ('<main id="search-results"><p title="the hidden city">A</p><div class="x hidden lg:block">B</div><p hidden>C</p><p hidden="">D</p></main>', "A\nB"),
 ]
 
 
