@@ -8,7 +8,8 @@ truncated backpropagation: tasks train on their documents from common weights, w
 averaged by their numbers of tokens, for several rounds on different documents. State is
 carried from window to window, so a document is scored whole, however long.
 
-Counts cover all training documents. Gradient steps read one in ``TRAIN_ONE_IN`` of them.
+Counts cover all training documents, and so do the gradient steps: the rounds read disjoint
+parts of them that together are all.
 The driver and the tasks hold the ``FREQUENT`` commonest words and the weights; counts of
 all other words are joined.
 
@@ -40,9 +41,8 @@ SHARED = CLASSES - SINGLES - 1
 STATE = 32
 FREQUENT = 1 << 18
 
-TRAIN_ONE_IN = 8
 ROUNDS = 3
-LANES, WINDOW = 32, 32
+LANES, WINDOW = 256, 32
 LEARNING_RATE = 0.01
 TOKENS_A_TASK = 1_000_000
 
@@ -273,14 +273,13 @@ def train_lanes(network: Network, sequence: np.ndarray) -> None:
 
 
 def training_sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(round, n, sequence): class numbers of the drawn documents, each ended by 0."""
+    """(round, n, sequence): class numbers of the training documents, each ended by 0."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(TRAIN_ONE_IN * ROUNDS))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(ROUNDS))
     chosen = (
         docs.where(~held_out())
         .select("doc_id", whole_text().alias("text"))
         .select("text", draw.cast("int").alias("round"))
-        .where(F.col("round") < ROUNDS)
     )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

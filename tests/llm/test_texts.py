@@ -90,6 +90,14 @@ def test_language_model_base_and_probabilities(spark):
     assert language_model.score_documents(documents(spark, [])).count() == 0
 
 
+def test_all_training_documents_are_trained_on(spark):
+    docs = documents(spark, [(i, prose(i, 12)) for i in range(140)])
+    counts = language_model.count_words(docs.where(~language_model.held_out()))
+    found = language_model.training_sequences(docs, language_model.read_vocabulary(counts))
+    assert found.count() == docs.where(~language_model.held_out()).count()
+    assert {r["round"] for r in found.select("round").collect()} == set(range(language_model.ROUNDS))
+
+
 def test_class_scores_follow_documents_whatever_the_lanes(monkeypatch):
     draw = np.random.default_rng(0)
     network = language_model.Network(language_model.Network.start(np.ones(language_model.CLASSES)))
