@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
+# Folders made inside open ``releasing`` blocks, innermost last.
+_MADE: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
@@ -31,12 +36,37 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[application]
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder; ``releasing`` removes it."""
+    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def releasing(spark: SparkSession, kept: list[DataFrame]) -> Iterator[None]:
+    """Remove the tables settled inside the block, but for those that ``kept`` holds at its end."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        files = [f for df in kept for f in df.inputFiles()]
+        jvm = spark.sparkContext._jvm
+        for path in made:
+            if not any(f"{path.rsplit('/', 1)[-1]}/" in f for f in files):
+                folder = jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage: a lost executor costs at most the tasks that read it.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
