@@ -1,63 +1,73 @@
 """Place names in text.
 
-The gazetteer is a short fixed list, so each alias becomes one literal pattern
-tested inside the scan. There is no join between texts and aliases.
+A folded text is cut into pieces: runs of a-z and 0-9, and every other character by itself.
+A name stands in a text as whole words exactly when it starts at a piece and ends where no
+letter or digit goes on. One walk over the pieces offers each as the start of a name, with
+what follows it; the names are found by joining those starts with a table of names on the
+first piece, whatever the number of names.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.constants import GAZETTEER, GLOBAL_KEYWORDS
 from storyloom.functions.text import contains_any, fold
 
+_WORD = "[a-z0-9]"
+_GAZETTEER = "place_rank bigint, label string, lat double, lon double, scope string, alias string"
+
+
+def pieces(folded: Column | str) -> Column:
+    return F.regexp_extract_all(folded, F.lit(f"{_WORD}+|[^a-z0-9]"), F.lit(0))
 
-def mentions(text: Column, alias: str) -> Column:
-    """Alias as whole words in folded text; ``contains`` settles most rows cheaply."""
-    alias = " ".join(alias.lower().split())
-    pattern = rf"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])"
-    return F.contains(text, F.lit(alias)) & text.rlike(pattern)
+
+def gazetteer_table(spark: SparkSession, gazetteer=GAZETTEER) -> DataFrame:
+    """(place_rank, label, lat, lon, scope, alias), a row for each name of a place."""
+    return spark.createDataFrame(
+        [
+            (rank, label, float(lat), float(lon), scope, alias)
+            for rank, (label, lat, lon, scope, aliases) in enumerate(gazetteer)
+            for alias in aliases
+        ],
+        _GAZETTEER,
+    )
 
 
-def alias_hits(text: Column, gazetteer=GAZETTEER) -> Column:
-    """Array with one number per alias found in the (already folded) text.
+def name_table(gazetteer: DataFrame) -> DataFrame:
+    """The gazetteer with each name's first piece and number of pieces; blank names go."""
+    named = gazetteer.withColumn("alias", fold("alias")).where("alias <> ''")
+    return named.withColumn("_pieces", pieces("alias")).select(
+        "*", F.col("_pieces")[0].alias("first"), F.size("_pieces").alias("length")
+    ).drop("_pieces")
 
-    Aliases are numbered through the gazetteer from 0; ``alias_table`` has the
-    same numbers.
+
+def name_starts(piece_column: str, longest: int) -> Column:
+    """Array of (at, first, inside, rest): each piece, and it with what follows it.
+
+    ``rest`` has one piece more than the longest name, to see whether a word goes on.
+    ``inside`` says that a letter or digit stands right before the piece.
     """
-    flags = []
-    for number, (_, alias) in enumerate(_aliases(gazetteer)):
-        flags.append(F.when(mentions(text, alias), F.lit(number)))
-    return F.array_compact(F.array(*flags))
-
-
-def _aliases(gazetteer) -> list[tuple[int, str]]:
-    return [(rank, alias) for rank, place in enumerate(gazetteer) for alias in place[4]]
-
-
-def place_of_alias(number: Column, gazetteer=GAZETTEER) -> Column:
-    """Gazetteer position of the place an alias number belongs to."""
-    ranks = [rank for rank, _ in _aliases(gazetteer)]
-    return F.element_at(F.array(*[F.lit(r) for r in ranks]), number + 1)
-
-
-def place(rank: Column, gazetteer=GAZETTEER) -> Column:
-    """Gazetteer row at a position as a struct."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("label"),
-                F.lit(float(lat)).alias("lat"),
-                F.lit(float(lon)).alias("lon"),
-                F.lit(scope).alias("scope"),
-            )
-            for name, lat, lon, scope, _ in gazetteer
-        ]
+    listed = F.col(piece_column)
+    before = lambda i: F.get(listed, i - 1)
+    return F.transform(
+        listed,
+        lambda piece, i: F.struct(
+            i.alias("at"),
+            piece.alias("first"),
+            F.coalesce(before(i).rlike(_WORD), F.lit(False)).alias("inside"),
+            F.array_join(F.slice(listed, i + 1, longest + 1), "").alias("rest"),
+        ),
     )
-    return F.element_at(rows, rank + 1)
+
+
+def starts_with_name(start: str, alias: str) -> Column:
+    """Whether the name stands at a start (a struct of ``name_starts``) as whole words."""
+    rest, name = F.col(f"{start}.rest"), F.col(alias)
+    word_after = F.substring(rest, F.length(name) + 1, F.lit(1)).rlike(_WORD)
+    word_first = F.substring(name, 1, 1).rlike(_WORD)
+    return F.startswith(rest, name) & ~word_after & (word_first | ~F.col(f"{start}.inside"))
 
 
 def mentions_global(text: Column, keywords: list[str] = GLOBAL_KEYWORDS) -> Column:

@@ -7,64 +7,109 @@ from pyspark.sql import functions as F
 
 from storyloom.constants import GAZETTEER, GLOBAL_KEYWORDS
 from storyloom.functions.places import (
-    alias_hits,
     article_place_text,
+    gazetteer_table,
     mentions_global,
-    place,
-    place_of_alias,
+    name_starts,
+    name_table,
+    pieces,
+    starts_with_name,
 )
 from storyloom.functions.text import fold
-from storyloom.operators.ranking import top_per_group
 
 LABEL_WEIGHT = 3
 ARTICLE_WEIGHT = 1
 
+# Names of so many places at most are sent to all tasks; of more, Spark decides by size.
+BROADCAST_NAMES = 100_000
 
-def _alias_evidence(articles: DataFrame, gazetteer) -> DataFrame:
-    """(story, alias, in_label, in_article) once per story and alias found."""
-    # The folded text is a column of its own, so it is made once and not per alias.
-    in_articles = (
-        articles.select(
-            "canonical_label", article_place_text(F.col("title"), F.col("description")).alias("_text")
-        )
-        .select(
-            "canonical_label",
-            F.explode(alias_hits(F.col("_text"), gazetteer)).alias("alias"),
-            F.lit(0).alias("in_label"),
-            F.lit(1).alias("in_article"),
-        )
+_PLACE = ["place_rank", "label", "lat", "lon", "scope"]
+
+
+def _names(articles: DataFrame, gazetteer) -> tuple[DataFrame, int]:
+    """The table of names, and the number of pieces of the longest."""
+    spark = articles.sparkSession
+    table = gazetteer if isinstance(gazetteer, DataFrame) else gazetteer_table(spark, gazetteer)
+    names = name_table(table)
+    size = names.agg(F.max("length").alias("longest"), F.count("*").alias("n")).first()
+    return F.broadcast(names) if size["n"] <= BROADCAST_NAMES else names, size["longest"] or 1
+
+
+def _found(texts: DataFrame, names: DataFrame, longest: int) -> DataFrame:
+    """``texts`` with the names that stand in ``_text``; a row without a name for every text.
+
+    The pieces that start no name end here, before anything is shuffled.
+    """
+    columns = [c for c in texts.columns if c != "_text"]
+    cut = texts.withColumn("_pieces", pieces("_text"))
+    starts = cut.select(*columns, F.explode_outer(name_starts("_pieces", longest)).alias("_start"))
+    first = F.coalesce(F.col("_start.at"), F.lit(0)) == 0
+    starts = starts.where(first | (F.col("_start.first") != " "))
+    hit = (F.col("_start.first") == F.col("first")) & starts_with_name("_start", "alias")
+    return (
+        starts.join(names, hit, "left")
+        .where(first | F.col("alias").isNotNull())
+        .select(*columns, "alias", *_PLACE)
     )
+
+
+def _evidence(articles: DataFrame, gazetteer, keywords: list[str]) -> DataFrame:
+    """One row per story and name found, or without a name; what any of its texts says.
+
+    Articles are read once for their texts and once for the labels alone.
+    """
+    names, longest = _names(articles, gazetteer)
+    nothing = F.lit(False)
+    theme = F.col("theme") == "Economy" if "theme" in articles.columns else nothing
+    in_articles = articles.select(
+        "canonical_label",
+        article_place_text(F.col("title"), F.col("description")).alias("_text"),
+        F.coalesce(theme, nothing).alias("economy"),
+    ).withColumn("in_label", F.lit(0))
     in_labels = (
         articles.select("canonical_label")
         .distinct()
-        .select("canonical_label", fold("canonical_label").alias("_text"))
-        .select(
-            "canonical_label",
-            F.explode(alias_hits(F.col("_text"), gazetteer)).alias("alias"),
-            F.lit(1).alias("in_label"),
-            F.lit(0).alias("in_article"),
-        )
+        .select("canonical_label", fold("canonical_label").alias("_text"), nothing.alias("economy"))
+        .withColumn("in_label", F.lit(1))
     )
+
+    def look(texts: DataFrame) -> DataFrame:
+        said = texts.withColumn("global", mentions_global(F.col("_text"), keywords)).withColumn(
+            "has_text", F.col("_text") != ""
+        )
+        return _found(said, names, longest)
+
     return (
-        in_articles.unionByName(in_labels)
-        .groupBy("canonical_label", "alias")
-        .agg(F.max("in_label").alias("in_label"), F.max("in_article").alias("in_article"))
+        look(in_articles)
+        .unionByName(look(in_labels))
+        .groupBy("canonical_label", "alias", *_PLACE)
+        .agg(
+            F.max("in_label").alias("in_label"),
+            F.max(1 - F.col("in_label")).alias("in_article"),
+            *[F.bool_or(c).alias(c) for c in ("economy", "global", "has_text")],
+        )
     )
 
 
-def place_scores(articles: DataFrame, gazetteer=GAZETTEER) -> DataFrame:
-    """Score of every place a story mentions: 3 per alias in its label, 1 per
-    alias in any of its articles."""
+def _by_place(evidence: DataFrame) -> DataFrame:
+    """Evidence summed by story and place; the row without a place stays."""
     weight = F.col("in_label") * LABEL_WEIGHT + F.col("in_article") * ARTICLE_WEIGHT
-    return (
-        _alias_evidence(articles, gazetteer)
-        .groupBy("canonical_label", place_of_alias(F.col("alias"), gazetteer).alias("place_rank"))
-        .agg(F.sum(weight).cast("bigint").alias("score"))
-        .withColumn("_place", place(F.col("place_rank"), gazetteer))
-        .select("canonical_label", "place_rank", "score", "_place.*")
+    return evidence.groupBy("canonical_label", *_PLACE).agg(
+        F.sum(weight).cast("bigint").alias("score"),
+        *[F.bool_or(c).alias(c) for c in ("economy", "global", "has_text")],
     )
 
 
+def place_scores(articles: DataFrame, gazetteer=GAZETTEER) -> DataFrame:
+    """Score of every place a story mentions: 3 per alias in its label, 1 per
+    alias in any of its articles.
+
+    ``gazetteer`` is a list of places or a table (place_rank, label, lat, lon, scope, alias).
+    """
+    found = _by_place(_evidence(articles, gazetteer, GLOBAL_KEYWORDS)).where("place_rank IS NOT NULL")
+    return found.select("canonical_label", "place_rank", "score", "label", "lat", "lon", "scope")
+
+
 def _location(ranked: Column, total: Column, has_text: Column, is_global: Column) -> Column:
     top, second = ranked[0], F.get(ranked, F.lit(1))
     single = second.isNull() | (top["score"] >= second["score"] * 2)
@@ -107,36 +152,21 @@ def story_locations(
     """One location per story: a place, several places, global or unknown.
 
     Phrases are looked for in the label and in each article; a phrase that would
-    only arise by joining two neighbouring articles does not count.
+    only arise by joining two neighbouring articles does not count. ``gazetteer``
+    is as in ``place_scores``.
     """
-    scores = place_scores(articles, gazetteer)
-    totals = scores.groupBy("canonical_label").agg(F.count("*").alias("_total"))
-    best = top_per_group(
-        scores, ["canonical_label"], [F.desc("score"), F.asc("place_rank")], 3
-    )
-    ranked = best.groupBy("canonical_label").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "label", "lat", "lon", "scope", "score"))).alias(
-            "_ranked"
-        )
+    placed = F.struct(
+        (-F.col("score")).alias("_down"), "place_rank", "label", "lat", "lon", "scope", "score"
     )
-    text = F.col("_text")
-    label = fold("canonical_label")
-    stories = articles.select(
-        "canonical_label", "theme",
-        article_place_text(F.col("title"), F.col("description")).alias("_text"),
-    ).groupBy("canonical_label").agg(
-        F.bool_or(mentions_global(text, keywords)).alias("_in_articles"),
-        F.bool_or(text != "").alias("_texts"),
-        F.bool_or(F.col("theme") == "Economy").alias("_economy"),
+    # At most one element for each place of the gazetteer.
+    listed = F.sort_array(F.collect_list(F.when(F.col("place_rank").isNotNull(), placed)))
+    stories = _by_place(_evidence(articles, gazetteer, keywords)).groupBy("canonical_label").agg(
+        listed.alias("_all"), *[F.bool_or(c).alias(c) for c in ("economy", "global", "has_text")]
     )
-    is_global = F.col("_in_articles") | mentions_global(label, keywords) | F.col("_economy")
-    return (
-        stories.join(ranked, "canonical_label", "left")
-        .join(totals, "canonical_label", "left")
-        .select(
-            "canonical_label",
-            _location(
-                F.col("_ranked"), F.col("_total"), F.col("_texts") | (label != ""), is_global
-            ).alias("location"),
-        )
+    total = F.size("_all")
+    return stories.select(
+        "canonical_label",
+        _location(
+            F.when(total > 0, F.slice("_all", 1, 3)), total, F.col("has_text"), F.col("global") | F.col("economy")
+        ).alias("location"),
     )

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storyloom.constants import GENERIC_EVENT_TOKENS, LABEL_STOPWORDS, LABEL_TOKEN_ALIASES
 from storyloom.functions.labels import (
@@ -13,45 +17,67 @@ from storyloom.functions.labels import (
     may_be_same_story,
 )
 
-_CLUSTERS = "array<struct<keys: array<string>, token_sets: array<array<string>>>>"
 # Sorts labels nobody grouped behind every proposed group.
 UNGROUPED = 1 << 62
 
 
-def _fold_first_fit(kinds: Column) -> Column:
-    """First-fit over label kinds in order; returns the clusters with their keys.
+class FirstFit:
+    """Clusters of word sets, each set put into the first cluster it fits.
+
+    A set fits a cluster when it shares a word with every set in it. The first cluster is
+    there from the start and empty, so the first set goes there. The index has, for every
+    word, the clusters that use it and which of their sets do (a bit mask); a set is tried
+    only on clusters that share a word with it, and it fits where its words' masks cover all.
+    """
 
-    The first cluster is there from the start: it also takes every label that
-    does not name a generic event, and such labels put no limit on it.
+    def __init__(self) -> None:
+        self.sizes = [0]
+        self._uses: dict[str, dict[int, int]] = {}
+
+    def place(self, words: Sequence[str]) -> int:
+        """The number of the cluster that takes the set."""
+        cluster = 0
+        if self.sizes[0]:
+            covered: dict[int, int] = {}
+            for word in words:
+                for number, mask in self._uses.get(word, {}).items():
+                    covered[number] = covered.get(number, 0) | mask
+            fitting = (n for n, mask in covered.items() if mask.bit_count() == self.sizes[n])
+            cluster = min(fitting, default=len(self.sizes))
+        if cluster == len(self.sizes):
+            self.sizes.append(0)
+        for word in words:
+            uses = self._uses.setdefault(word, {})
+            uses[cluster] = uses.get(cluster, 0) | 1 << self.sizes[cluster]
+        self.sizes[cluster] += 1
+        return cluster
+
+
+def _first_fit_rows(kinds: DataFrame, group: str) -> DataFrame:
+    """(group, _key, cluster) of ``kinds`` (group, _key, first_pos, _tokens), group by group.
+
+    A group comes sorted and in Arrow batches; its task holds the index, not the rows.
     """
+    schema = T.StructType(
+        [kinds.schema[group], kinds.schema["_key"], T.StructField("cluster", T.LongType())]
+    )
+    ordered = kinds.repartition(group).sortWithinPartitions(group, "first_pos", "_key")
 
-    def fits(kind: Column):
-        return lambda cluster: F.forall(
-            cluster["token_sets"], lambda tokens: F.arrays_overlap(tokens, kind["tokens"])
-        )
-
-    def place(clusters: Column, kind: Column) -> Column:
-        grown = lambda c: F.struct(
-            F.array_append(c["keys"], kind["key"]).alias("keys"),
-            F.array_append(c["token_sets"], kind["tokens"]).alias("token_sets"),
-        )
-        fitting = F.transform(clusters, fits(kind))
-        spot = F.array_position(fitting, F.lit(True))
-        placed = F.transform(
-            clusters, lambda c, i: F.when(i + 1 == spot, grown(c)).otherwise(c)
-        )
-        fresh = F.struct(
-            F.array(kind["key"]).alias("keys"), F.array(kind["tokens"]).alias("token_sets")
-        )
-        return F.when(spot > 0, placed).otherwise(F.array_append(clusters, fresh))
-
-    empty = F.array(
-        F.struct(
-            F.array().cast("array<string>").alias("keys"),
-            F.array().cast("array<array<string>>").alias("token_sets"),
-        )
-    ).cast(_CLUSTERS)
-    return F.aggregate(kinds, empty, place)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, fit = object(), FirstFit()
+        for batch in batches:
+            clusters = []
+            groups, sets = batch.column(group).to_pylist(), batch.column("_tokens").to_pylist()
+            for name, words in zip(groups, sets, strict=True):
+                if name != current:
+                    current, fit = name, FirstFit()
+                clusters.append(fit.place(words))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(group), batch.column("_key"), pa.array(clusters, pa.int64())],
+                names=schema.names,
+            )
+
+    return ordered.mapInArrow(place, schema)
 
 
 def label_clusters(
@@ -67,8 +93,8 @@ def label_clusters(
     label fits a cluster when the guard lets it join every label in it. Labels
     that name no generic event fit anywhere, so they go to cluster 0 without
     being looked at in order. Generic labels with the same distinctive words
-    always end up together, so only distinct word sets, in order of first use,
-    are folded over.
+    always end up together, so only distinct word sets are placed, in order of
+    first use.
     """
     tokens = F.array_sort(distinctive_tokens("label", generic, stopwords, aliases))
     key = F.when(
@@ -83,15 +109,7 @@ def label_clusters(
         .groupBy(group, "_key")
         .agg(F.min("label_pos").alias("first_pos"), F.first("_tokens").alias("_tokens"))
     )
-    ordered = F.sort_array(
-        F.collect_list(F.struct("first_pos", F.col("_key").alias("key"), F.col("_tokens").alias("tokens")))
-    )
-    placed = (
-        kinds.groupBy(group)
-        .agg(_fold_first_fit(ordered).alias("_clusters"))
-        .select(group, F.posexplode("_clusters").alias("cluster", "_cluster"))
-        .select(group, "cluster", F.explode("_cluster.keys").alias("_key"))
-    )
+    placed = _first_fit_rows(kinds, group)
     return (
         keyed.join(placed, [group, "_key"], "left")
         .withColumn("cluster", F.coalesce("cluster", F.lit(0)).cast("bigint"))

@@ -160,11 +160,11 @@ def next_claims(
 def save_claims(store: StateStore, run: GroundedClaims, version: str = CLAIM_VERSION) -> None:
     stale = run.misses.select("article_id", F.lit(version).alias("version"))
     keys = ["article_id", "version"]
-    moved = run.moved_claims.drop("bucket")
-    claims = run.claims.unionByName(moved, allowMissingColumns=True)
+    claims = run.claims.unionByName(run.moved_claims, allowMissingColumns=True)
     extractions = run.extractions.unionByName(run.moved_extractions)
-    store.replace_keys("claims", claims, stale, keys)
-    store.replace_keys("claim_extractions", extractions, stale, keys)
+    with store.transaction():
+        store.replace_keys("claims", claims, stale, keys)
+        store.replace_keys("claim_extractions", extractions, stale, keys)
 
 
 def story_claims(

@@ -17,8 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storyloom.operators.coverage import recent_stories
-from storyloom.operators.tables import missing_payloads, write_memory
+from storyloom.operators.tables import missing_payloads
 from storyloom.plans import briefing as briefing_plan
 from storyloom.plans import digest as digest_plan
 from storyloom.plans.claims import ground_claims, save_claims, story_claims
@@ -29,6 +28,7 @@ from storyloom.plans.tracking import (
     Tracked,
     load_history,
     match_requests,
+    save_texts,
     save_tracking,
     track,
     tracking_counters,
@@ -109,14 +109,12 @@ def store_day(
     batch = cut(labeled.labeled)
     history = load_history(store)
     if run_reports:
-        day = F.lit(today).cast("date")
         labels = batch.groupBy("story_label").agg(F.min("ordinal").alias("first_ordinal"))
         skips = ingested.skips.orderBy(F.desc("items"), "skip_reason", "source")
         write_rows(skips, f"{run_reports}/skips")
         write_rows(label_requests(labeled.misses), f"{run_reports}/label_requests")
         write_rows(group_requests(labels), f"{run_reports}/group_requests")
-        recent = recent_stories(history.stories, history.daily, day)
-        write_rows(match_requests(labels, recent), f"{run_reports}/match_requests")
+        write_rows(match_requests(labels, history.recent(today)), f"{run_reports}/match_requests")
         write_rows(replies.rejects(), f"{run_reports}/rejects")
     store.replace_keys("article_labels", labeled.new_cache_rows)
     if snapshots:
@@ -188,11 +186,7 @@ def report_day(
     first = briefing_replies(replies.briefings)
     write_rows(missing_payloads(picked, first).select("canonical_label"), f"{out}/missing_{stamp}")
     filled = cut(briefing_plan.fill_texts(picked, first, briefing_replies(replies.retries)))
-    memory = write_memory(
-        store.read("story_observations").filter(F.col("date") == F.lit(today).cast("date")),
-        briefing_plan.story_memories(filled),
-    )
-    store.replace_date("story_observations", cut(memory), today)
+    save_texts(store, briefing_plan.story_memories(filled), today)
     if briefing:
         lines = briefing_plan.briefing_lines(filled, articles, generated_at, claims)
         order = [F.col(c) for c in briefing_plan.LINE_ORDER]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,6 @@ from storyloom.functions.dates import parse_reported
 from storyloom.functions.labels import may_be_same_story
 from storyloom.functions.stories import trend
 from storyloom.operators.coverage import (
-    count_before,
     prior_articles,
     prior_observation,
     recent_stories,
@@ -20,7 +20,17 @@ from storyloom.operators.coverage import (
 )
 from storyloom.operators.merging import merge_labels
 from storyloom.operators.ranking import number_rows, positions
-from storyloom.operators.tables import last_write_per_key
+from storyloom.operators.story_days import (
+    PRIOR,
+    carry_on,
+    day_rows,
+    follow_back,
+    labels_alive,
+    latest_before,
+    recent_labels,
+    remember,
+)
+from storyloom.operators.tables import last_write_per_key, write_memory
 from storyloom.schemas import PREVIOUS_CONTEXT
 from storyloom.session import cut
 from storyloom.sources.state import StateStore
@@ -31,13 +41,74 @@ _NO_MATCHES = "today_label string, canonical_label string"
 
 @dataclass
 class History:
-    """The state tables a run reads."""
+    """What earlier days left, from the tables themselves."""
 
     stories: DataFrame
     daily: DataFrame
     observations: DataFrame
     articles: DataFrame
 
+    def recent(self, today: str, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+        return recent_stories(self.stories, self.daily, F.lit(today).cast("date"), lookback_days)
+
+    def same_label(self, today: str, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+        return stories_by_label(self.stories, self.daily, F.lit(today).cast("date"), lookback_days)
+
+    def prior(self, ids: DataFrame, today: str, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+        """(story_id, *PRIOR) of the given stories before ``today``."""
+        day = F.lit(today).cast("date")
+        daily = self.daily.join(ids, "story_id", "left_semi").filter(F.col("date") < day)
+        counted = daily.groupBy("story_id").agg(
+            F.max("date").alias("previous_date"),
+            F.max_by("source_count", "date").alias("previous_count"),
+            F.min("date").alias("first_seen"),
+        )
+        observed = prior_observation(self.observations.join(ids, "story_id", "left_semi"), day)
+        earlier = self.articles.withColumnRenamed("published_at", "reported_at").withColumn(
+            "description", F.coalesce("description", F.lit(""))
+        ).withColumn("reported_at", F.coalesce("reported_at", F.lit("")))
+        articles = prior_articles(earlier.join(ids, "story_id", "left_semi"), day)
+        return counted.join(observed, "story_id", "full").join(articles, "story_id", "full").select(
+            "story_id", *PRIOR
+        )
+
+    def last_id(self) -> int:
+        """The largest id given so far; one value."""
+        return self.stories.agg(F.max("story_id")).first()[0] or 0
+
+
+@dataclass
+class StoryDays:
+    """What earlier days left, from the rows kept per story and day."""
+
+    store: StateStore
+
+    def _since(self, today: str, lookback_days: int) -> str:
+        return (date.fromisoformat(today) - timedelta(days=lookback_days)).isoformat()
+
+    def recent(self, today: str, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+        return recent_labels(self.store.read("story_days", self._since(today, lookback_days), today))
+
+    def same_label(self, today: str, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+        days = self.store.read("story_days", self._since(today, lookback_days))
+        return labels_alive(days, F.lit(today).cast("date"))
+
+    def prior(self, ids: DataFrame, today: str, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
+        """(story_id, *PRIOR) of stories that were alive around ``today``.
+
+        Such a story has a day in the window, or days after ``today`` that lead back.
+        """
+        since = self._since(today, lookback_days)
+        found = latest_before(self.store.read("story_days", since, today), ids)
+        if not any(d >= today for d in self.store.dates("story_days")):
+            return found
+        rest = ids.join(found.select("story_id"), "story_id", "left_anti")
+        later = self.store.read("story_days", since=today)
+        return found.unionByName(follow_back(later, self.store.read("story_days", before=since), rest))
+
+    def last_id(self) -> int:
+        return self.store.counter("story_id")
+
 
 @dataclass
 class Tracked:
@@ -93,27 +164,20 @@ def stories_by_label(
     return stories.join(alive, "story_id").groupBy("canonical_label").agg(newest.alias("label_id"))
 
 
-def previous_context(history: History, ids: DataFrame, today: Column) -> DataFrame:
-    """Memory and latest articles of the given stories before ``today``."""
-    observed = prior_observation(history.observations.join(ids, "story_id", "left_semi"), today)
-    earlier = history.articles.withColumnRenamed("published_at", "reported_at").withColumn(
-        "description", F.coalesce("description", F.lit(""))
-    ).withColumn("reported_at", F.coalesce("reported_at", F.lit("")))
-    articles = prior_articles(earlier.join(ids, "story_id", "left_semi"), today)
+def previous_context() -> Column:
+    """Memory and latest articles before the day, null where there are none."""
     context = F.struct(
         F.col("memory.last_observed").alias("last_observed"),
         F.col("memory.summary").alias("summary"),
         F.col("memory.delta_summary").alias("delta_summary"),
         "recent_articles",
     ).cast(PREVIOUS_CONTEXT)
-    return observed.join(articles, "story_id", "full").select(
-        "story_id", context.alias("previous_context")
-    )
+    return F.when(F.col("memory").isNotNull() | F.col("recent_articles").isNotNull(), context)
 
 
 def track(
     labeled: DataFrame,
-    history: History,
+    history: History | StoryDays,
     today: str,
     groups: DataFrame | None = None,
     matches: DataFrame | None = None,
@@ -145,9 +209,8 @@ def track(
         F.min("track_order").alias("group_order"),
         F.min_by("theme", "track_order").alias("theme"),
     )
-    recent = recent_stories(history.stories, history.daily, day, lookback_days)
-    matched = match_groups(metrics, matches, recent)
-    same_label = stories_by_label(history.stories, history.daily, day, lookback_days)
+    matched = match_groups(metrics, matches, history.recent(today, lookback_days))
+    same_label = history.same_label(today, lookback_days)
     resolved = (
         matched.join(same_label, matched["group_label"] == same_label["canonical_label"], "left")
         .withColumn("known_id", F.coalesce("matched_id", "label_id"))
@@ -156,8 +219,8 @@ def track(
     )
     resolved = cut(resolved)
 
-    # One value; ids of removed stories stay in the registry and are not reused.
-    high_water = history.stories.agg(F.max("story_id")).first()[0] or 0
+    # Ids of removed stories are not reused.
+    high_water = history.last_id()
     new = number_rows(resolved.filter(F.col("known_id").isNull()), [F.col("group_order")])
     new = new.withColumn("story_id", F.col("position") + high_water).drop("position")
     known = resolved.filter(F.col("known_id").isNotNull()).withColumn(
@@ -167,11 +230,9 @@ def track(
     assigned = assigned.drop("known_id")
 
     ids = assigned.select("story_id").distinct()
-    context = previous_context(history, ids, day)
-    before = count_before(history.daily.join(ids, "story_id", "left_semi"), day)
     stories = cut(
-        assigned.join(context, "story_id", "left")
-        .join(before, "story_id", "left")
+        assigned.join(history.prior(ids, today, lookback_days), "story_id", "left")
+        .withColumn("previous_context", previous_context())
         .withColumn("trend", trend("source_count", "previous_count"))
         .withColumn("observation_id", observation_id("story_id", day))
     )
@@ -227,24 +288,64 @@ def _state_rows(tracked: DataFrame, stories: DataFrame, day: Column) -> dict[str
         "story_observations": observations,
         "article_story_links": links,
         "story_daily": daily,
+        "story_days": day_rows(last, articles, day),
     }
 
 
 def save_tracking(store: StateStore, tracked: Tracked, today: str) -> None:
-    """Rebuild the date in every table; ``story_daily`` goes last as commit mark.
+    """Rebuild the date in every table, all in one transaction.
 
     A batch without articles leaves the state as it is: an empty or unreadable landing must
     not undo a day that was stored before.
     """
     if tracked.stories.isEmpty():
         return
-    if not tracked.new_stories.isEmpty():
-        store.append("stories", tracked.new_stories)
-    for name in ("articles", "story_observations", "article_story_links", "story_daily"):
-        store.replace_date(name, tracked.state[name], today)
+    with store.transaction():
+        if not tracked.new_stories.isEmpty():
+            store.append("stories", tracked.new_stories)
+            store.set_counter("story_id", tracked.new_stories.agg(F.max("story_id")).first()[0])
+        for name in ("articles", "story_observations", "article_story_links", "story_daily"):
+            store.replace_date(name, tracked.state[name], today)
+        replace_story_days(store, tracked.state["story_days"], today)
+
+
+def replace_story_days(store: StateStore, rows: DataFrame, today: str) -> None:
+    """Rebuild a date's rows, and what later days carry on from them."""
+    tomorrow = (date.fromisoformat(today) + timedelta(days=1)).isoformat()
+    with store.transaction():
+        before = store.read("story_days", today, tomorrow)
+        rows = cut(rows)
+        store.replace_date("story_days", rows, today)
+        if not any(d > today for d in store.dates("story_days")):
+            return
+        # Stories that lost this day carry on from the day before it.
+        gone = before.join(rows.select("story_id"), "story_id", "left_anti")
+        lost = gone.select("story_id", F.col("previous_date").alias("date"))
+        seeds = rows.unionByName(
+            store.read("story_days", before=today).join(lost, ["story_id", "date"], "left_semi")
+        )
+        moved = rows.select("story_id").unionByName(gone.select("story_id")).distinct()
+        later = store.read("story_days", since=tomorrow)
+        changed = carry_on(seeds, later.join(moved, "story_id", "left_semi"))
+        kept = later.join(moved, "story_id", "left_anti")
+        store.replace_dates("story_days", cut(kept.unionByName(changed)))
+
+
+def save_texts(store: StateStore, memories: DataFrame, today: str) -> None:
+    """Write the texts of a report (observation_id, summary, delta_summary) back to the day."""
+    tomorrow = (date.fromisoformat(today) + timedelta(days=1)).isoformat()
+    written = cut(write_memory(store.read("story_observations", today, tomorrow), memories))
+    with store.transaction():
+        store.replace_date("story_observations", written, today)
+        replace_story_days(store, remember(store.read("story_days", today, tomorrow), written), today)
+
+
+def load_history(store: StateStore) -> StoryDays:
+    return StoryDays(store)
 
 
-def load_history(store: StateStore) -> History:
+def whole_history(store: StateStore) -> History:
+    """All tables; for checks against the rows kept per story and day."""
     return History(
         store.read("stories"),
         store.read("story_daily"),

@@ -16,6 +16,7 @@ from storyloom.constants import (
 )
 from storyloom.functions.render import one_decimal, source_summary
 from storyloom.functions.stories import theme_summary
+from storyloom.functions.text import fold
 from storyloom.operators import rollup as roll
 from storyloom.operators.locations import place_scores as score_places
 from storyloom.operators.locations import story_locations
@@ -351,18 +352,24 @@ def digest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql_aliases(gazetteer) -> str:
     rows = []
-    for rank, (name, _, _, scope, aliases) in enumerate(gazetteer):
+    for rank, (name, lat, lon, scope, aliases) in enumerate(gazetteer):
         for alias in aliases:
             pattern = alias.replace(".", "\\.").replace("-", "\\-")
-            rows.append(f"({rank}, '{name}', '{scope}', '{alias}', '(^|[^a-z0-9]){pattern}([^a-z0-9]|$)')")
+            rows.append(f"({rank}, '{name}', {float(lat)}::DOUBLE, {float(lon)}::DOUBLE, '{scope}', '{alias}', '(^|[^a-z0-9]){pattern}([^a-z0-9]|$)')")
     return ", ".join(rows)
 
 
 def _sql_scores(articles: str, gazetteer) -> str:
     """Place scores of a relation (canonical_label, title, description)."""
+    return f"""
+aliases AS (SELECT * FROM (VALUES {_sql_aliases(gazetteer)}) v(place_rank, place, lat, lon, scope, alias, pattern)),
+{_sql_found(articles)}"""
+
+
+def _sql_found(articles: str) -> str:
+    """Place scores by the relation aliases (place_rank, place, lat, lon, scope, alias, pattern)."""
     fold = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
     return f"""
-aliases AS (SELECT * FROM (VALUES {_sql_aliases(gazetteer)}) v(place_rank, place, scope, alias, pattern)),
 in_articles AS (
   SELECT DISTINCT canonical_label, place_rank, alias
   FROM (SELECT canonical_label, {fold.format("title || ' ' || description")} AS words FROM {articles}) x
@@ -375,10 +382,10 @@ in_labels AS (
 ),
 scores AS (
   SELECT canonical_label, place_rank, any_value(place) AS label, any_value(scope) AS scope,
-         CAST(sum(score) AS BIGINT) AS score
+         any_value(lat) AS lat, any_value(lon) AS lon, CAST(sum(score) AS BIGINT) AS score
   FROM (SELECT canonical_label, place_rank, 1 AS score FROM in_articles
         UNION ALL SELECT canonical_label, place_rank, 3 FROM in_labels)
-  JOIN (SELECT DISTINCT place_rank, place, scope FROM aliases) USING (place_rank)
+  JOIN (SELECT DISTINCT place_rank, place, lat, lon, scope FROM aliases) USING (place_rank)
   GROUP BY canonical_label, place_rank
 )"""
 
@@ -388,13 +395,19 @@ def _sql_locations(articles: str) -> str:
     return f"""
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY canonical_label ORDER BY score DESC, place_rank) AS rank,
-         count(*) OVER (PARTITION BY canonical_label) AS total FROM scores
+         count(*) OVER (PARTITION BY canonical_label) AS total,
+         max(score) OVER (PARTITION BY canonical_label) AS top_score,
+         nth_value(score, 2) OVER (PARTITION BY canonical_label ORDER BY score DESC, place_rank
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_score
+  FROM scores
 ),
 tops AS (
   SELECT canonical_label, max(total) AS total, max(label) FILTER (rank = 1) AS top,
-         max(scope) FILTER (rank = 1) AS top_scope, max(score) FILTER (rank = 1) AS top_score,
-         max(score) FILTER (rank = 2) AS second_score,
-         string_agg(label, ' / ' ORDER BY rank) FILTER (rank <= 3) AS joined
+         max(scope) FILTER (rank = 1) AS top_scope, max(top_score) AS top_score,
+         max(second_score) AS second_score,
+         string_agg(label, ' / ' ORDER BY rank) FILTER (rank <= 3) AS joined,
+         string_agg(label || ' ' || CAST(lat AS DECIMAL(9, 4)) || ' ' || CAST(lon AS DECIMAL(9, 4)), '; ' ORDER BY rank)
+           FILTER (rank = 1 OR rank <= 3 AND top_score < 2 * second_score) AS spots
   FROM ranked GROUP BY canonical_label
 ),
 texts_of AS (
@@ -413,7 +426,7 @@ located AS (
          CASE WHEN top IS NOT NULL AND (total = 1 OR top_score >= 2 * second_score) AND top_score >= 3 THEN 'high'
               WHEN top IS NOT NULL OR keyword OR economy THEN 'medium' ELSE 'low' END AS confidence,
          CASE WHEN top IS NULL THEN 0 WHEN total = 1 OR top_score >= 2 * second_score THEN 1
-              ELSE least(total, 3) END AS points
+              ELSE least(total, 3) END AS points, coalesce(spots, '') AS spots
   FROM texts_of t LEFT JOIN tops p USING (canonical_label)
 )"""
 
@@ -453,28 +466,66 @@ text_stories AS (
 
 @query(f"""
 WITH {_TEXT_STORIES}, {_sql_scores("text_stories", TEXT_PLACES)}, {_sql_locations("text_stories")}
-SELECT canonical_label, scope, label, confidence, CAST(points AS BIGINT) AS points FROM located
+SELECT canonical_label, scope, label, confidence, CAST(points AS BIGINT) AS points, spots FROM located
 """)
 def text_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location of stories made of whole documents."""
-    rows = story_locations(_text_stories(spark, sf_dir), TEXT_PLACES)
-    return rows.select(
+    return _location_rows(story_locations(_text_stories(spark, sf_dir), TEXT_PLACES))
+
+
+def _location_rows(located: DataFrame) -> DataFrame:
+    """Locations with their points as text."""
+    spot = lambda p: F.concat_ws(
+        " ", p["label"], p["lat"].cast("decimal(9,4)").cast("string"), p["lon"].cast("decimal(9,4)").cast("string")
+    )
+    return located.select(
         "canonical_label", "location.scope", "location.label", "location.confidence",
         F.size("location.points").cast("bigint").alias("points"),
+        F.array_join(F.transform("location.points", spot), "; ").alias("spots"),
     )
 
 
+_PASSAGE_WORDS = 4
+
+
+@query(f"""
+WITH {a.TEXTS},
+text_stories AS (SELECT *, source || ' ' || language AS canonical_label FROM texts),
+passages AS (
+  SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS words FROM benchmark
+),
+aliases AS (
+  SELECT item_id AS place_rank, 'item ' || item_id AS place, CAST(item_id AS DOUBLE) AS lat, 0.5::DOUBLE AS lon,
+         'local' AS scope, array_to_string(string_split(words, ' ')[:{_PASSAGE_WORDS}], ' ') AS alias,
+         '(^|[^a-z0-9])' || regexp_escape(array_to_string(string_split(words, ' ')[:{_PASSAGE_WORDS}], ' ')) || '([^a-z0-9]|$)' AS pattern
+  FROM passages
+), {_sql_found("text_stories")}
+SELECT canonical_label, place_rank, label, lat, score FROM scores
+""")
+def gazetteer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by a gazetteer that is a table: the first words of every benchmark item."""
+    words = F.split(fold("text"), " ")
+    item = F.col("item_id")
+    gazetteer = a.table(spark, sf_dir, "benchmark").select(
+        item.alias("place_rank"),
+        F.concat(F.lit("item "), item.cast("string")).alias("label"),
+        item.cast("double").alias("lat"),
+        F.lit(0.5).alias("lon"),
+        F.lit("local").alias("scope"),
+        F.array_join(F.slice(words, 1, _PASSAGE_WORDS), " ").alias("alias"),
+    )
+    label = F.concat("source", F.lit(" "), "language")
+    rows = score_places(a.texts(spark, sf_dir).withColumn("canonical_label", label), gazetteer)
+    return rows.select("canonical_label", "place_rank", "label", "lat", "score")
+
+
 @query(f"""
 WITH {a.ART}, {_sql_scores("art", GAZETTEER)}, {_sql_locations("art")}
-SELECT canonical_label, scope, label, confidence, CAST(points AS BIGINT) AS points FROM located
+SELECT canonical_label, scope, label, confidence, CAST(points AS BIGINT) AS points, spots FROM located
 """)
 def story_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Location of every story of the events."""
-    rows = story_locations(a.articles(spark, sf_dir))
-    return rows.select(
-        "canonical_label", "location.scope", "location.label", "location.confidence",
-        F.size("location.points").cast("bigint").alias("points"),
-    )
+    return _location_rows(story_locations(a.articles(spark, sf_dir)))
 
 
 @query(f"""

@@ -51,7 +51,7 @@ def _replies(spark, claims=None, text=None, article="article-abc123"):
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return StateStore(spark, str(tmp_path / "state"), buckets=4)
+    return StateStore(spark, str(tmp_path / "state"))
 
 
 def _run(spark, store, article, replies):

@@ -25,7 +25,7 @@ GOOD = _reply(theme="Economy", story_label="Market Rally", importance=4)
 
 
 def _empty_cache(spark):
-    return spark.createDataFrame([], STATE_TABLES["article_labels"][0]).drop("bucket")
+    return spark.createDataFrame([], STATE_TABLES["article_labels"][0])
 
 
 def _one(df):
@@ -33,7 +33,7 @@ def _one(df):
 
 
 def test_reply_is_stored_and_used_again(spark, tmp_path):
-    store = StateStore(spark, str(tmp_path / "state"), buckets=4)
+    store = StateStore(spark, str(tmp_path / "state"))
     first = label(_articles(spark), store.read("article_labels"), replies(spark, GOOD))
     assert _one(first.labeled) == ("Economy", "Market Rally", 4)
     store.replace_keys("article_labels", first.new_cache_rows)

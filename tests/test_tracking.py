@@ -8,7 +8,7 @@ from storyloom.functions.labels import may_be_same_story
 from storyloom.operators.coverage import count_before, recent_stories
 from storyloom.operators.merging import label_clusters, merge_labels
 from storyloom.operators.tables import write_memory
-from storyloom.plans.tracking import label_requests, load_history, match_groups, save_tracking, track
+from storyloom.plans.tracking import label_requests, load_history, match_groups, save_texts, save_tracking, track
 from storyloom.sources.replies import group_replies, match_replies
 from storyloom.sources.state import StateStore
 
@@ -36,7 +36,7 @@ def _visible(store):
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return StateStore(spark, str(tmp_path / "state"), buckets=4)
+    return StateStore(spark, str(tmp_path / "state"))
 
 
 def test_same_day_twice_is_the_same(spark, store):
@@ -75,9 +75,7 @@ def test_context_of_a_continued_story(spark, store):
         "observation_id", F.lit(" Earlier summary. ").alias("summary"),
         F.lit("Earlier change.").alias("delta_summary"),
     )
-    store.replace_date(
-        "story_observations", write_memory(store.read("story_observations"), memory), "2026-04-18"
-    )
+    save_texts(store, memory, "2026-04-18")
     second = _run(
         spark, store, [(2, *STORY)], "2026-04-19",
         matches=[{"today_label": "Test Story", "canonical_label": "Test Story"}],
