@@ -82,8 +82,10 @@ def test_similar_texts_are_found_whatever_their_bits(spark, monkeypatch):
     roots = _roots(shingles, lambda a, b: not len(a) + len(b) or 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)))
     expected = sorted(min(rows[j][0] for j in range(len(rows)) if roots[j] == r) for r in set(roots))
     assert simhash.keep_one(documents(spark, rows)).count() > len(expected)  # too few bits
-    for rounds in (3, 1):
-        monkeypatch.setattr(similar, "STAR_ROUNDS", rounds)
+    for heads, heavy, least in (((2, 4, 16), 200, 16), ((1,), 6, 1)):
+        monkeypatch.setattr(similar, "HEADS", heads)
+        monkeypatch.setattr(similar, "HEAVY", heavy)
+        monkeypatch.setattr(similar, "HEAVY_LEAST", least)
         kept = similar.keep_one(documents(spark, rows)).collect()
         assert sorted(r.doc_id for r in kept) == expected
     assert similar.keep_one(documents(spark, [])).count() == 0
