@@ -67,16 +67,47 @@ def follow_back(later: DataFrame, earlier: DataFrame, ids: DataFrame) -> DataFra
     return earlier.join(first, ["story_id", "date"]).select("story_id", *_prior())
 
 
-def own_articles(articles: DataFrame) -> DataFrame:
-    """(story_id, own_articles): the latest articles of one day."""
+def own_articles(articles: DataFrame, keys: list[str] = ["story_id"]) -> DataFrame:
+    """(*keys, own_articles): the latest articles of one day, or of each where keys have the date."""
     shaped = articles.select(
         "story_id", "id", "date", "source", "title",
         F.coalesce("description", F.lit("")).alias("description"), "url",
         F.coalesce("published_at", F.lit("")).alias("reported_at"),
     )
-    ranked = top_per_group(shaped, ["story_id"], [F.desc("reported_at"), F.asc("id")], LATEST)
+    ranked = top_per_group(shaped, keys, [F.desc("reported_at"), F.asc("id")], LATEST)
     newest = F.sort_array(F.collect_list(F.struct("rank", F.struct(*ARTICLE_FIELDS).alias("article"))))
-    return ranked.groupBy("story_id").agg(F.transform(newest, lambda r: r["article"]).alias("own_articles"))
+    return ranked.groupBy(*keys).agg(F.transform(newest, lambda r: r["article"]).alias("own_articles"))
+
+
+def _memory_of(observations: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, _said) of the observations that hold any text."""
+    memory = F.struct(
+        F.col("date").alias("last_observed"),
+        non_blank("summary").alias("summary"),
+        non_blank("delta_summary").alias("delta_summary"),
+    )
+    has_text = ~(is_blank("summary") & is_blank("delta_summary"))
+    return observations.filter(has_text).select(*keys, memory.alias("_said"))
+
+
+def days_from_tables(
+    stories: DataFrame, daily: DataFrame, observations: DataFrame, articles: DataFrame
+) -> DataFrame:
+    """Rows for all days at once, for a state that was kept without them."""
+    keys = ["story_id", "date"]
+    rows = (
+        daily.select(*keys, "source_count")
+        .join(stories.select("story_id", "canonical_label"), "story_id")
+        .join(own_articles(articles, keys), keys, "left")
+        .join(_memory_of(observations, *keys), keys, "left")
+        .select(
+            *keys, "canonical_label", F.col("date").alias("first_seen"),
+            F.lit(None).cast("date").alias("previous_date"), "source_count",
+            F.col("_said").alias("own_memory"), "own_articles", F.col("_said").alias("memory"),
+            F.col("own_articles").alias("recent_articles"),
+        )
+    )
+    return carry_on(rows.limit(0), rows)
 
 
 def _no_articles() -> Column:
@@ -103,13 +134,7 @@ def day_rows(stories: DataFrame, articles: DataFrame, day: Column) -> DataFrame:
 
 def remember(days: DataFrame, observations: DataFrame) -> DataFrame:
     """The rows of a day after its observations got their texts."""
-    has_text = ~(is_blank("summary") & is_blank("delta_summary"))
-    memory = F.struct(
-        F.col("date").alias("last_observed"),
-        non_blank("summary").alias("summary"),
-        non_blank("delta_summary").alias("delta_summary"),
-    )
-    said = observations.filter(has_text).select("story_id", memory.alias("_said"))
+    said = _memory_of(observations, "story_id")
     return (
         days.join(said, "story_id", "left")
         .withColumn("own_memory", F.coalesce("_said", "own_memory"))

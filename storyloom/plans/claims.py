@@ -11,6 +11,7 @@ from storyloom.constants import CLAIM_VERSION
 from storyloom.functions.replies import claim_fields, claim_reject_reason
 from storyloom.functions.text import claim_input, claim_input_hash, fold
 from storyloom.operators.ranking import top_per_group
+from storyloom.session import cut_counted
 from storyloom.sources.replies import claim_replies, replied_articles
 from storyloom.sources.state import StateStore
 
@@ -27,21 +28,12 @@ class GroundedClaims:
     moved_extractions: DataFrame
     rejected: DataFrame
 
+    counts: dict[str, int]
+
     def counters(self) -> DataFrame:
-        """Articles extracted, cached and failed, and claims rejected."""
-        def count(rows: DataFrame, name: str) -> DataFrame:
-            return rows.select(F.lit(name).alias("counter"))
-
-        answered = self.extractions.select("article_id")
-        failed = self.misses.join(answered, "article_id", "left_anti")
-        return (
-            count(self.extractions, "extracted")
-            .unionByName(count(self.hits, "cached"))
-            .unionByName(count(self.rejected, "invalid"))
-            .unionByName(count(failed, "failed"))
-            .groupBy("counter")
-            .count()
-        )
+        """Articles extracted, cached and failed, and claims rejected, as counted on the way."""
+        rows = [(name, n) for name, n in self.counts.items() if n]
+        return self.claims.sparkSession.createDataFrame(rows, "counter string, count bigint")
 
 
 def claim_inputs(tracked: DataFrame, order: str = "ordinal") -> DataFrame:
@@ -108,19 +100,26 @@ def ground_claims(
     ``replies`` has (reply_no, article_id, reply). An article whose reply is
     missing or unusable keeps no claims and stays a miss.
     """
-    checked = split_cached(claim_inputs(tracked, order), extractions, version)
+    checked, seen = cut_counted(
+        split_cached(claim_inputs(tracked, order), extractions, version),
+        cached=F.count_if("hit"),
+        missed=F.count_if(~F.col("hit")),
+    )
     hits = checked.filter("hit")
     misses = checked.filter(~F.col("hit"))
-    judged = judge_claims(misses, replies, version)
+    judged, found = cut_counted(
+        judge_claims(misses, replies, version), invalid=F.count_if(F.col("reject_reason").isNotNull())
+    )
     kept = judged.filter(F.col("reject_reason").isNull())
     saved = kept.groupBy("article_id").agg(F.count("*").alias("_saved"))
-    new_extractions = (
+    new_extractions, answered = cut_counted(
         misses.join(replied_articles(replies), "article_id", "left_semi")
         .join(saved, "article_id", "left")
         .select(
             "article_id", F.lit(version).alias("version"), "story_id", "content_hash",
             F.coalesce("_saved", F.lit(0)).alias("claims_count"),
-        )
+        ),
+        extracted=F.count(F.lit(1)),
     )
     moves = hits.filter(~F.col("story_id").eqNullSafe(F.col("stored_story_id")))
     moved_claims = (
@@ -140,6 +139,12 @@ def ground_claims(
         moved_claims=moved_claims,
         moved_extractions=moved_extractions,
         rejected=judged.filter(F.col("reject_reason").isNotNull()),
+        counts={
+            "cached": seen["cached"],
+            "extracted": answered["extracted"],
+            "failed": seen["missed"] - answered["extracted"],
+            "invalid": found["invalid"],
+        },
     )
 
 

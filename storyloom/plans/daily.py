@@ -21,7 +21,7 @@ from storyloom.operators.tables import missing_payloads
 from storyloom.plans import briefing as briefing_plan
 from storyloom.plans import digest as digest_plan
 from storyloom.plans.claims import ground_claims, save_claims, story_claims
-from storyloom.plans.edition import edition_rows
+from storyloom.plans.edition import edition_counts, edition_rows
 from storyloom.plans.ingest import ingest
 from storyloom.plans.labels import label, label_requests
 from storyloom.plans.tracking import (
@@ -88,6 +88,22 @@ class Replies:
         return reduce(DataFrame.unionByName, found)
 
 
+class UnreadableReplies(ValueError):
+    """Replies of a kind the run can't do without are not what was asked for."""
+
+
+# Claims that can't be read only leave their article without claims.
+FATAL_KINDS = ["labels", "groups", "matches", "briefings", "retries"]
+
+
+def check_replies(rejects: DataFrame, shown: int = 20) -> None:
+    """Stop a run whose replies can't be read; the first few are named."""
+    order = ["kind", "reply_no", "reject_reason"]
+    bad = rejects.where(F.col("kind").isin(FATAL_KINDS)).orderBy(*order).limit(shown).collect()
+    if bad:
+        raise UnreadableReplies("; ".join(f"{r['kind']} {r['reply_no']}: {r['reject_reason']}" for r in bad))
+
+
 def store_day(
     items: DataFrame,
     store: StateStore,
@@ -115,7 +131,6 @@ def store_day(
         write_rows(label_requests(labeled.misses), f"{run_reports}/label_requests")
         write_rows(group_requests(labels), f"{run_reports}/group_requests")
         write_rows(match_requests(labels, history.recent(today)), f"{run_reports}/match_requests")
-        write_rows(replies.rejects(), f"{run_reports}/rejects")
     store.replace_keys("article_labels", labeled.new_cache_rows)
     if snapshots:
         write_daily_snapshot(batch, snapshots, today)
@@ -137,7 +152,6 @@ def store_day(
             store.read("claims"),
             store.read("claim_extractions"),
             replies.claims,
-            order="track_order",
         )
         if run_reports:
             write_rows(run.counters(), f"{run_reports}/claim_counters")
@@ -171,17 +185,12 @@ def report_day(
         )
     if not (briefing or edition):
         return
-    picked = cut(
-        briefing_plan.briefing_stories(
-            articles, n, order=F.col("track_order"), contexts=tracked.contexts()
-        )
-    )
+    picked = cut(briefing_plan.briefing_stories(articles, n, contexts=tracked.contexts()))
     claims = None
     if show_evidence:
         shown = picked.select("story_id")
         claims = story_claims(store.read("claims"), store.read("articles"), stories=shown)
-    ordered = articles.withColumn("_major", F.col("label_order"))
-    requests = briefing_plan.briefing_requests(ordered, picked, claims, major="_major")
+    requests = briefing_plan.briefing_requests(articles, picked, claims)
     write_rows(requests, f"{out}/requests_{stamp}")
     first = briefing_replies(replies.briefings)
     write_rows(missing_payloads(picked, first).select("canonical_label"), f"{out}/missing_{stamp}")
@@ -193,7 +202,9 @@ def report_day(
         write_lines(lines, f"{out}/briefing_{stamp}.md", order)
         write_rows(filled, f"{out}/report_rows_{stamp}")
     if edition:
-        write_rows(edition_rows(filled, articles), f"{out}/edition_{stamp}")
+        rows = cut(edition_rows(filled, articles))
+        write_rows(rows, f"{out}/edition_{stamp}")
+        write_rows(edition_counts(rows), f"{out}/counts_{stamp}")
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -215,6 +226,10 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--skip-briefing", action="store_true")
     parser.add_argument("--skip-edition", action="store_true")
     parser.add_argument("--show-evidence", action="store_true")
+    parser.add_argument(
+        "--allow-bad-replies", action="store_true",
+        help="go on where label, group, match or briefing replies can't be read",
+    )
     return parser.parse_args(argv)
 
 
@@ -227,8 +242,16 @@ def main(argv: list[str] | None = None) -> None:
     catalogue = None
     if args.catalogue:
         catalogue = spark.read.schema(_CATALOGUE).json(args.catalogue)
+    run_reports = f"{args.out}/run_{today}"
+    # All that can stop the run comes before the first write to the state.
+    rejects = cut(replies.rejects())
+    write_rows(rejects, f"{run_reports}/rejects")
+    if not args.allow_bad_replies:
+        check_replies(rejects)
+    items, unread = read_feeds(spark, args.feeds, catalogue)
+    write_rows(unread, f"{run_reports}/feed_rejects")
     tracked = store_day(
-        read_feeds(spark, args.feeds, catalogue),
+        items,
         store,
         replies,
         today,
@@ -236,7 +259,7 @@ def main(argv: list[str] | None = None) -> None:
         None if args.pages is None else spark.read.parquet(args.pages),
         f"{store.root}/snapshots",
         args.show_evidence,
-        f"{args.out}/run_{today}",
+        run_reports,
     )
     report_day(
         tracked,
@@ -250,6 +273,7 @@ def main(argv: list[str] | None = None) -> None:
         edition=not args.skip_edition,
         show_evidence=args.show_evidence,
     )
+    store.vacuum()
 
 
 if __name__ == "__main__":

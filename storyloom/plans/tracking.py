@@ -186,7 +186,8 @@ def track(
     """Attach each article to a story and compute the state rows of ``today``.
 
     ``groups`` are proposals to merge today's labels, ``matches`` proposals to
-    continue recent stories. Everything about earlier days is read as of before
+    continue recent stories. The tracked articles are numbered in tracking order
+    (``ordinal``): group by group, label by label, then by arrival. Everything about earlier days is read as of before
     ``today``, so any date can be rebuilt.
     """
     spark = labeled.sparkSession
@@ -195,19 +196,20 @@ def track(
     matches = spark.createDataFrame([], _NO_MATCHES) if matches is None else matches
 
     labels = labeled.groupBy("story_label").agg(F.min("ordinal").alias("first_ordinal"))
-    if len(labels.take(2)) < 2:
-        groups = groups.limit(0)
+    # One label alone is not grouped.
+    groups = groups.where(labels.agg(F.count("*") > 1).scalar())
     placements = cut(merge_labels(labels, groups))
 
-    placed = labeled.join(placements, "story_label").withColumn(
-        "track_order", F.struct("label_order", "ordinal")
-    )
+    # From here on one number gives the order of the articles, in every report.
+    placed = labeled.join(placements, "story_label")
+    placed = number_rows(placed, [F.col("label_order"), F.col("ordinal")], "_place")
+    placed = placed.drop("label_order", "ordinal").withColumnRenamed("_place", "ordinal")
     metrics = placed.groupBy("group_label").agg(
         F.count_distinct("source").alias("source_count"),
         F.count("*").alias("article_count"),
         F.avg("importance").alias("importance_avg"),
-        F.min("track_order").alias("group_order"),
-        F.min_by("theme", "track_order").alias("theme"),
+        F.min("ordinal").alias("group_order"),
+        F.min_by("theme", "ordinal").alias("theme"),
     )
     matched = match_groups(metrics, matches, history.recent(today, lookback_days))
     same_label = history.same_label(today, lookback_days)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators import coverage as ops
+from storyloom.operators.story_days import days_from_tables
 from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
 
@@ -112,3 +113,49 @@ def story_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last day of every story."""
     rows = ops.story_bounds(a.history_articles(spark, sf_dir))
     return rows.select("story_id", _day("first_seen"), _day("last_seen"))
+
+
+@query(f"""
+WITH {a.HIST}, {a.OBSERVATIONS}, {a.STORIES},
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY date, reported_at, id DESC) AS n,
+         count(*) OVER (PARTITION BY story_id ORDER BY date) AS so_far
+  FROM hist
+),
+told AS (
+  SELECT story_id, date, CASE WHEN trim(coalesce(summary, ''), ' ' || chr(10)) <> ''
+              OR trim(coalesce(delta_summary, ''), ' ' || chr(10)) <> '' THEN date END AS told_on
+  FROM observations
+),
+days AS (
+  SELECT story_id, date, so_far, count(DISTINCT source) AS source_count FROM numbered GROUP BY ALL
+),
+carried AS (
+  SELECT d.*, lag(d.date) OVER w AS previous_date, min(d.date) OVER w AS first_seen,
+         max(t.told_on) OVER w AS last_observed
+  FROM days d LEFT JOIN told t USING (story_id, date) WINDOW w AS (PARTITION BY d.story_id ORDER BY d.date)
+)
+SELECT c.story_id, CAST(c.date AS VARCHAR) AS date, s.canonical_label, c.source_count,
+       CAST(c.previous_date AS VARCHAR) AS previous_date, CAST(c.first_seen AS VARCHAR) AS first_seen,
+       CAST(c.last_observed AS VARCHAR) AS last_observed,
+       (SELECT nullif(trim(o.summary, ' ' || chr(10)), '') FROM observations o
+        WHERE o.story_id = c.story_id AND o.date = c.last_observed) AS summary,
+       string_agg(n.title, '; ' ORDER BY n.n DESC) AS recent
+FROM carried c JOIN stories s USING (story_id)
+JOIN numbered n ON n.story_id = c.story_id AND n.n <= c.so_far AND n.n > c.so_far - 3
+GROUP BY ALL
+""")
+def story_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known after every story day: last count, memory, latest articles and bounds."""
+    articles = a.history_articles(spark, sf_dir)
+    rows = days_from_tables(
+        a.history_stories(spark, sf_dir),
+        ops.daily_coverage(articles, ["story_id", "date"]),
+        a.history_observations(spark, sf_dir),
+        articles.withColumnRenamed("reported_at", "published_at"),
+    )
+    return rows.select(
+        "story_id", _day(), "canonical_label", "source_count", _day("previous_date"), _day("first_seen"),
+        F.col("memory.last_observed").cast("string").alias("last_observed"), "memory.summary",
+        F.array_join(F.transform("recent_articles", lambda r: r["title"]), "; ").alias("recent"),
+    )

@@ -13,6 +13,7 @@ from storyloom.plans.claims import (
     attribute_claims,
     best_claims,
     claim_inputs,
+    GroundedClaims,
     ground_claims,
     judge_claims,
     next_claims,
@@ -239,13 +240,29 @@ WHERE verdict <> 'kept' AND article_id NOT IN (SELECT article_id FROM hits)
 """)
 def claim_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles extracted, cached and failed in a claim run, and claims rejected."""
-    run = ground_claims(
+    return _claim_run(spark, sf_dir).counters().withColumnRenamed("count", "articles")
+
+
+def _claim_run(spark: SparkSession, sf_dir: str) -> GroundedClaims:
+    return ground_claims(
         _inputs(spark, sf_dir),
         _stored_claims(spark, sf_dir),
         _stored_extractions(spark, sf_dir),
         claim_reply_texts(spark, sf_dir),
     )
-    return run.counters().withColumnRenamed("count", "articles")
+
+
+@query(f"""
+WITH {_CONTENT},
+hits AS (SELECT i.article_id FROM labels l JOIN inputs i ON i.ordinal = l.doc_id
+         WHERE l.doc_id % 4 <> 0 AND i.content <> '')
+SELECT article_id, (SELECT count(*) FROM judged j WHERE j.article_id = i.article_id AND verdict = 'kept') AS claims_count
+FROM inputs i
+WHERE ordinal % 20 <> 0 AND content <> '' AND article_id NOT IN (SELECT article_id FROM hits)
+""")
+def saved_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims saved for each article that was answered, none included."""
+    return _claim_run(spark, sf_dir).extractions.select("article_id", "claims_count")
 
 
 def _label_claims(spark: SparkSession, sf_dir: str) -> DataFrame:

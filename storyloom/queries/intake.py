@@ -12,7 +12,8 @@ from storyloom.operators.intake import cap_per_source, first_per_key
 from storyloom.operators.intake import skip_report as report_skips
 from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
-from storyloom.sources.feeds import parse_items
+from storyloom.sources.feeds import feed_rejects as unread_feeds
+from storyloom.sources.feeds import parse_items, scan_feeds
 from storyloom.sources.pages import page_text
 
 _TARGET = "2024-01-15"
@@ -185,6 +186,13 @@ FROM art
 """)
 def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed files (made from the articles, at most 500 items each) read back as items."""
+    return parse_items(_feed_files(spark, sf_dir)).select(
+        "source", "item_pos", "title", "url", "description", "published_at"
+    )
+
+
+def _feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed files of at most 500 articles of a source and day."""
     def tag(name: str, value) -> Column:
         escaped = F.replace(F.replace(F.col(value), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
         return F.concat(F.lit(f"<{name}>"), escaped, F.lit(f"</{name}>"))
@@ -196,17 +204,37 @@ def feed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</item>"),
     )
     ordered = F.sort_array(F.collect_list(F.struct("ordinal", item.alias("item"))))
-    feeds = (
+    return (
         a.articles(spark, sf_dir)
         .groupBy("source", "date", F.floor(F.col("id") / 500).alias("file"))
         .agg(F.array_join(F.transform(ordered, lambda r: r["item"]), "").alias("items"))
         .select(
             "source",
+            "date",
+            "file",
             F.lit("en").alias("language"),
             F.lit(0).cast("bigint").alias("source_rank"),
             F.concat(F.lit("<rss><channel><title>feed</title>"), "items", F.lit("</channel></rss>")).alias("xml"),
         )
     )
-    return parse_items(feeds).select(
-        "source", "item_pos", "title", "url", "description", "published_at"
+
+
+@query(f"""
+WITH {a.ART},
+files AS (SELECT DISTINCT source, date, CAST(floor(id / 500) AS BIGINT) AS file FROM art)
+SELECT source, CAST(date AS VARCHAR) AS date, file,
+       CASE WHEN file % 7 = 4 THEN 'no_feed' ELSE 'malformed_xml' END AS reject_reason
+FROM files WHERE file % 7 IN (1, 3, 4, 5)
+""")
+def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed files that were cut off, have a bare ampersand, are empty or are no feeds."""
+    kind, xml = F.col("file") % 7, F.col("xml")
+    damaged = (
+        F.when(kind == 1, F.substring(xml, F.lit(1), F.length(xml) - 20))
+        .when(kind == 3, F.replace(xml, F.lit("<title>feed"), F.lit("<title>a & b")))
+        .when(kind == 4, F.lit("<html><body>not found</body></html>"))
+        .when(kind == 5, F.lit(""))
+        .otherwise(xml)
     )
+    rows = unread_feeds(scan_feeds(_feed_files(spark, sf_dir).withColumn("xml", damaged)))
+    return rows.select("source", F.col("date").cast("string").alias("date"), "file", "reject_reason")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from storyloom.plans.labels import label as label_plan
 from storyloom.plans.labels import label_requests as build_requests
 from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
+from storyloom.session import cut, run_folder
+from storyloom.sources.state import StateStore
 from storyloom.sources.replies import label_replies
 from storyloom.sources.replies import reply_rejects as find_rejects
 
@@ -182,7 +186,7 @@ def label_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""
+_NEXT_CACHE = f"""
 WITH {_CACHE}, {_ANSWERS},
 changes AS (
   SELECT t.id AS article_id, t.url, t.title, t.description,
@@ -196,17 +200,42 @@ next AS (
 )
 SELECT article_id, content_hash, theme, story_label, CAST(importance AS BIGINT) AS importance,
        model, version FROM next
-""")
+"""
+
+
+@query(_NEXT_CACHE)
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label cache after a run; a new label replaces whatever the article had."""
     cache = label_cache(spark, sf_dir)
     run = label_plan(a.texts(spark, sf_dir), cache, label_reply_texts(spark, sf_dir))
-    return upsert(cache, run.new_cache_rows, ["article_id"]).select(
+    return _cache_rows(upsert(cache, run.new_cache_rows, ["article_id"]))
+
+
+def _cache_rows(cache: DataFrame) -> DataFrame:
+    return cache.select(
         "article_id", "content_hash", "theme", "story_label",
         F.col("importance").cast("bigint").alias("importance"), "model", "version",
     )
 
 
+@query(_NEXT_CACHE)
+def keyed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same label cache in a state folder: a base, and three runs that left changes.
+
+    Of the new labels a third comes as something else first, and a third is gone for a run.
+    """
+    store = StateStore(spark, f"{run_folder(spark)}/state-{uuid.uuid4().hex}", change_share=float("inf"))
+    cache = label_cache(spark, sf_dir)
+    new = cut(label_plan(a.texts(spark, sf_dir), cache, label_reply_texts(spark, sf_dir)).new_cache_rows)
+    third = F.pmod(F.xxhash64("article_id"), F.lit(3))
+    store.replace_keys("article_labels", cache)
+    first = new.where(third < 2).withColumn("theme", F.when(third == 0, F.lit("Other")).otherwise(F.col("theme")))
+    store.replace_keys("article_labels", first, stale=new.where(third == 2))
+    store.replace_keys("article_labels", new.where(third == 0))
+    store.replace_keys("article_labels", new.where(third == 2))
+    return _cache_rows(store.read("article_labels"))
+
+
 @query(f"""
 WITH {a.ART},
 batches AS (

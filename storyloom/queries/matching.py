@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.operators.coverage import recent_stories as find_recent
 from storyloom.operators.ranking import number_rows
-from storyloom.plans.tracking import History, match_groups, stories_by_label, track
+from storyloom.operators.story_days import days_from_tables
+from storyloom.plans.tracking import History, StoryDays, Tracked, match_groups, stories_by_label, track
+from storyloom.plans.tracking import tracking_counters as count_tracked
 from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
+from storyloom.session import run_folder
 from storyloom.sources.replies import group_replies as read_groups
 from storyloom.sources.replies import match_replies as read_matches
+from storyloom.sources.state import StateStore
 
 _TODAY = "1998-06-01"
 
@@ -140,7 +147,7 @@ before AS (
 )"""
 
 
-@query(f"""
+_TRACKED_DAY = f"""
 WITH {_DAY}
 SELECT b.id, n.new_id AS story_id,
        CASE WHEN n.matched THEN 'user ' || (n.user_id + 1) ELSE n.story_label END AS canonical_label,
@@ -153,9 +160,42 @@ SELECT b.id, n.new_id AS story_id,
         WHERE q.story_id = n.new_id AND q.rank <= 3), '') AS recent
 FROM batch b JOIN numbered n USING (story_label)
 LEFT JOIN before p ON p.story_id = n.new_id
-""")
+"""
+
+
+@query(_TRACKED_DAY)
 def track_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One whole tracking run: the last day's articles against all days before it."""
+    return _tracked_rows(_run_of_day(spark, sf_dir, lambda history: history))
+
+
+@query(_TRACKED_DAY)
+def track_day_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run, reading the rows kept per story and day from a state folder."""
+
+    def kept(history: History) -> StoryDays:
+        store = StateStore(spark, f"{run_folder(spark)}/state-{uuid.uuid4().hex}")
+        with store.transaction():
+            rows = days_from_tables(history.stories, history.daily, history.observations, history.articles)
+            store.replace_dates("story_days", rows)
+            store.set_counter("story_id", history.last_id())
+        return StoryDays(store)
+
+    return _tracked_rows(_run_of_day(spark, sf_dir, kept))
+
+
+@query(f"""
+WITH {_DAY}
+SELECT count(*) AS labels, count(DISTINCT new_id) AS stories,
+       count(*) FILTER (known_id IS NULL) AS new_stories
+FROM numbered
+""")
+def tracking_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the run, stories they went to, and new ones among them."""
+    return count_tracked(_run_of_day(spark, sf_dir, lambda history: history).stories)
+
+
+def _run_of_day(spark: SparkSession, sf_dir: str, kept: Callable[[History], History | StoryDays]) -> Tracked:
     rows = a.articles(spark, sf_dir)
     day = F.lit(_RUN_DATE).cast("date")
     user = F.col("story_id")
@@ -176,8 +216,7 @@ def track_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = rows.filter(F.col("date") == day).withColumn("text", F.lit("")).drop(
         "story_id", "canonical_label", "date"
     )
-    out = track(batch, history, _RUN_DATE, matches=matches)
-    return _tracked_rows(out)
+    return track(batch, kept(history), _RUN_DATE, matches=matches)
 
 
 def _tracked_rows(out) -> DataFrame:

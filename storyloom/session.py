@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -61,3 +61,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{run_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates over the rows taken while they are written."""
+    observation = Observation()
+    table = cut(df.observe(observation, *[c.alias(name) for name, c in metrics.items()]))
+    return table, observation.get

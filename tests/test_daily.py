@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from storyloom.plans import daily
 from storyloom.sources.state import StateStore
 
@@ -113,7 +115,7 @@ def test_unknown_feeds_and_run_reports(spark, tmp_path):
     answers = tmp_path / f"replies-{DAY_1}"
     (answers / "matches").mkdir(parents=True)
     (answers / "matches" / "part.json").write_text(json.dumps({"reply_no": 3, "article_id": None, "reply": "{"}) + "\n")
-    out = _main(tmp_path, DAY_1, "--show-evidence", "--skip-briefing", "--skip-edition")
+    out = _main(tmp_path, DAY_1, "--show-evidence", "--skip-briefing", "--skip-edition", "--allow-bad-replies")
     articles = StateStore(spark, str(tmp_path / "state")).read("articles").collect()
     assert {(r["source"], r["title"]) for r in articles} == {("My Feed", "A"), ("NOS", "B")}
     run = out / f"run_{DAY_1}"
@@ -142,3 +144,26 @@ def test_replies_to_parts_are_merged_in_order(spark):
     old = {"canonical_label": "A", "part": 1, "briefing": "old"}
     found = briefing_replies(replies(spark, reply(old), reply(second, first))).collect()
     assert [(r["canonical_label"], r["briefing"], r["delta_summary"]) for r in found] == [("A", "one\n\ntwo", "d")]
+
+
+@pytest.mark.parametrize("kind", ["labels", "groups", "matches", "briefings"])
+def test_unreadable_replies_stop_the_run_before_state_is_written(spark, tmp_path, kind):
+    _feed(tmp_path / f"feeds-{DAY_1}", "NOS", ("T", "https://example.com/1", "", "Sat, 18 Apr 2026 10:00:00 GMT"))
+    _reply(tmp_path / f"replies-{DAY_1}", kind, {"answer": []})
+    with pytest.raises(daily.UnreadableReplies, match=f"{kind} 0: missing_list"):
+        _main(tmp_path, DAY_1)
+    assert not (tmp_path / "state").exists()
+    rejects = spark.read.parquet(str(tmp_path / f"out-{DAY_1}" / f"run_{DAY_1}" / "rejects"))
+    assert [r["kind"] for r in rejects.collect()] == [kind]
+
+
+def test_unread_feeds_are_kept_beside_the_run(spark, tmp_path):
+    feeds = tmp_path / f"feeds-{DAY_1}"
+    _feed(feeds, "NOS", ("T", "https://example.com/1", "", "Sat, 18 Apr 2026 10:00:00 GMT"))
+    (feeds / "DW.xml").write_text("<rss><channel><item><title>T</title></item><item>")
+    (feeds / "BBC.xml").write_text("<html><body>gone</body></html>")
+    out = _main(tmp_path, DAY_1, "--skip-briefing", "--skip-edition", "--skip-digest")
+    unread = spark.read.parquet(str(out / f"run_{DAY_1}" / "feed_rejects")).collect()
+    assert {(r["source"], r["reject_reason"], r["unread"][:6]) for r in unread} == {
+        ("DW", "malformed_xml", "<rss><"), ("BBC", "no_feed", "<html>"),
+    }

@@ -163,7 +163,7 @@ def test_feed_files(spark, tmp_path):
     (tmp_path / "NOS.xml").write_text(RSS)
     (tmp_path / "DW.xml").write_text(RDF)
     (tmp_path / "BBC News.xml").write_text("<rss><channel><item><title>broken")
-    rows = read_feeds(spark, str(tmp_path)).orderBy("ordinal").collect()
+    rows = read_feeds(spark, str(tmp_path))[0].orderBy("ordinal").collect()
     assert [(r["source"], r["item_pos"], r["title"], r["url"]) for r in rows] == [
         ("NOS", 0, "A & B", "https://example.com/1"),
         ("NOS", 1, "Second", ""),
