@@ -8,9 +8,9 @@ each document starts among the ids of *all* shards, and the end of the last) and
 with its first offset: the prefix sum of the shards before it. Files are memory-mapped where
 the folder is a mounted path, and read by range elsewhere.
 
-Documents are in ascending doc_id order. Texts are encoded where they lie; only ids are
-sorted, by ranges of (doc_id, hash of the text, row), so that no id, null included, has to
-fit one task. Files carry the name of the attempt that wrote them and only those that the
+Documents are in ascending doc_id order: they are dealt and sorted by ranges of (doc_id, hash
+of the text, row), so that no id, null included, has to fit one task, and encoded as they are
+written. Files carry the name of the attempt that wrote them and only those that the
 manifest names count; a task that runs twice leaves a file that nobody reads, removed at the
 end.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +40,8 @@ from storyloom.llm.shared import settle, whole_text, width
 
 END_ID = 0
 
-# Pieces whose ids one Python worker holds; a full cache starts anew. Longer pieces are not held.
+# Pieces whose ids one Python worker holds; of a full cache only those just met stay. Longer
+# pieces are not held.
 CACHE_PIECES = 500_000
 CACHED_CHARS = 64
 
@@ -55,7 +57,7 @@ _PIECE = re.compile(
 
 
 class ByteTokenizer:
-    """Token ids of whole texts as little-endian 32-bit bytes, cached by piece."""
+    """Token ids of whole texts as the bytes of the files, cached by piece."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -64,6 +66,7 @@ class ByteTokenizer:
         self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self._tokenizer.get_vocab()
         self.largest = max(vocabulary.values(), default=0)
+        self.code = np.dtype("<u2" if self.largest < 1 << 16 else "<u4")
         self._opens_piece = np.zeros(self.largest + 1, bool)
         # The sign for a space opens a piece and stands nowhere else in it.
         self._opens_piece[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
@@ -71,13 +74,13 @@ class ByteTokenizer:
 
     def whole(self, text: str) -> bytes:
         found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-        return np.array(found.ids, "<u4").tobytes()
+        return np.array(found.ids, self.code).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         spaced = [p for p in pieces if p[0] == " " and len(p) > 1 and not p.isspace()]
         raw = self.whole("".join(spaced))
-        ids = np.frombuffer(raw, "<u4")
-        starts = (4 * np.flatnonzero(self._opens_piece[ids])).tolist()
+        ids = np.frombuffer(raw, self.code)
+        starts = (self.code.itemsize * np.flatnonzero(self._opens_piece[ids])).tolist()
         rest = pieces
         if len(starts) == len(spaced):
             ends = [*starts, len(raw)][1:]
@@ -86,7 +89,7 @@ class ByteTokenizer:
             rest = [p for p in pieces if p not in self._ids]
         found = self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)
         for piece, encoding in zip(rest, found, strict=True):
-            self._ids[piece] = np.array(encoding.ids, "<u4").tobytes()
+            self._ids[piece] = np.array(encoding.ids, self.code).tobytes()
 
     def _plain(self, text: str) -> bool:
         try:
@@ -100,9 +103,12 @@ class ByteTokenizer:
         for at in range(0, len(texts), BLOCK):
             block = texts[at : at + BLOCK]
             pieces = [_PIECE.findall(t) if self._plain(t) else None for t in block]
-            if len(known) > CACHE_PIECES:
+            here = set().union(*(p for p in pieces if p))
+            if len(known) > CACHE_PIECES:  # what this block has stays
+                recent = {p: known[p] for p in here if p in known}
                 known.clear()
-            new = set().union(*(p for p in pieces if p)).difference(known)
+                known.update(recent)
+            new = here.difference(known)
             self._learn([p for p in new if len(p) <= CACHED_CHARS])
             for text, found in zip(block, pieces, strict=True):
                 if found is None:
@@ -128,35 +134,16 @@ def place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), folder
 
 
-def _encoded(docs: DataFrame, tokenizer_path: str, code: str) -> DataFrame:
-    """(doc_id, tie, ids): ids with the end id, in the width of the files."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("tie", T.LongType()), T.StructField("ids", T.BinaryType())])
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(tokenizer_path)
-        end = np.array([END_ID], code).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                found = tokenizer.encode(part.column("text").to_pylist())
-                ids = [np.frombuffer(raw, "<u4").astype(code).tobytes() + end for raw in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("tie"), pa.array(ids, pa.binary())], names=schema.names
-                )
-
-    return docs.select(
-        "doc_id", F.xxhash64(whole_text()).alias("tie"), whole_text().alias("text")
-    ).mapInArrow(encode, schema)
-
-
-def _write_shards(ordered: DataFrame, folder: str, code: str) -> DataFrame:
+def _write_shards(ordered: DataFrame, tokenizer_path: str, folder: str) -> DataFrame:
     """Write ids, local lengths and names; (shard, attempt, n_docs, n_tokens) of each shard."""
-    item = np.dtype(code).itemsize
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(tokenizer_path)
         system, root = place(folder)
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
-        lengths, n_tokens, out, names = [], 0, None, None
+        end = np.array([END_ID], tokenizer.code).tobytes()
+        item = len(end)
+        lengths, n_tokens, out, names = array("Q"), 0, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -164,27 +151,25 @@ def _write_shards(ordered: DataFrame, folder: str, code: str) -> DataFrame:
                 out = system.open_output_stream(f"{root}/tokens-{attempt}.bin")
                 sink = system.open_output_stream(f"{root}/names-{attempt}.arrow")
                 names = pa.ipc.new_file(sink, pa.schema([("doc_id", batch.column("doc_id").type)]))
-            ids = batch.column("ids")
-            sizes = np.diff(np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]) // item
-            for value in ids:
-                out.write(value.as_buffer())
+            for at in range(0, batch.num_rows, BLOCK):
+                for raw in tokenizer.encode(batch.column("text").slice(at, BLOCK).to_pylist()):
+                    out.write(raw + end)
+                    lengths.append(len(raw) // item + 1)
+                    n_tokens += len(raw) // item + 1
             names.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id")], names=["doc_id"]))
-            lengths.append(sizes.astype("<u8"))
-            n_tokens += int(sizes.sum())
         if out is None:
             return
         out.close()
         names.close()
         sink.close()
-        all_lengths = np.concatenate(lengths)
         with system.open_output_stream(f"{root}/lengths-{attempt}.bin") as file:
-            file.write(all_lengths.tobytes())
+            file.write(np.array(lengths, "<u8").tobytes())
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "attempt": attempt, "n_docs": len(all_lengths), "n_tokens": n_tokens}],
+            [{"shard": shard, "attempt": attempt, "n_docs": len(lengths), "n_tokens": n_tokens}],
             schema=pa.schema([("shard", pa.int32()), ("attempt", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
         )
 
-    return ordered.select("doc_id", "ids").mapInArrow(write, "shard int, attempt string, n_docs long, n_tokens long")
+    return ordered.select("doc_id", "text").mapInArrow(write, "shard int, attempt string, n_docs long, n_tokens long")
 
 
 def _shard_rows(spark: SparkSession, shards: list[dict]) -> DataFrame:
@@ -213,15 +198,18 @@ def _write_offsets(shards: DataFrame, folder: str) -> DataFrame:
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str) -> dict:
     """Encode all documents into ``folder``; returns the manifest."""
     spark = docs.sparkSession
-    code = "<u2" if _tokenizer(tokenizer_path).largest < 1 << 16 else "<u4"
     system, root = place(folder)
     system.create_dir(root, recursive=True)
-    encoded = settle(_encoded(docs, tokenizer_path, code))
-    encoded = encoded.withColumn("row", F.monotonically_increasing_id())
     order = ["doc_id", "tie", "row"]
-    ordered = encoded.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
+    named = docs.select(
+        "doc_id",
+        F.xxhash64(whole_text()).alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
+        whole_text().alias("text"),
+    )
+    ordered = named.repartitionByRange(width(spark), *order).sortWithinPartitions(*order)
     # One row for each shard comes to the driver, here and below.
-    rows = settle(_write_shards(ordered, folder, code)).orderBy("shard").collect()
+    rows = settle(_write_shards(ordered, tokenizer_path, folder)).orderBy("shard").collect()
     shards, base = [], 0
     for r in rows:
         shards.append({"attempt": r["attempt"], "base": base, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
@@ -234,6 +222,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str) -> dict:
         if kind in ("tokens", "names", "offsets", "lengths"):
             if kind == "lengths" or attempt.split(".")[0] not in named:
                 system.delete_file(info.path)
+    code = _tokenizer(tokenizer_path).code.str
     manifest = {"dtype": code, "n_tokens": base, "n_docs": sum(s["n_docs"] for s in shards), "shards": shards}
     with system.open_output_stream(f"{root}/manifest.json") as file:
         file.write(json.dumps(manifest).encode())

@@ -218,7 +218,7 @@ def test_cached_pieces_give_the_tokenizers_ids():
     cases += [prose(5, 500), "東京 tower", "½ ª 1²", "\x1c \x85 \xa0 x", "Ġ Ġa", "a\x00b"]
     found = cached.encode(cases)
     for text, raw in zip(cases, found, strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(raw, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_releasing_removes_all_but_what_is_kept(spark):
