@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -52,6 +53,14 @@ _PART_WORDS = frozenset(
     "sharing social related recommended comment comments commentlist disqus replies pagination "
     "pager toolbar widget login signup search".split()
 )
+# In names of several words: first words that name the part whatever follows, those that do
+# before a word for a box, and words that take the name back ("has-sidebar").
+_FIRST_WORDS = frozenset("ad ads advert adverts advertisement comment comments cookie cookies disqus".split())
+_BOX_WORDS = frozenset(
+    "area bar block box button buttons container form group item items link links list panel section "
+    "slot thread unit wrap wrapper".split()
+)
+_NOT_PARTS = frozenset("free has is no non not with without".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
 
 _TAG = re.compile(
@@ -75,6 +84,17 @@ class Line:
     link_chars: int
 
 
+@lru_cache(maxsize=65536)
+def _names_part(token: str, in_main: bool) -> bool:
+    """Whether a class or id names a part that is not main text."""
+    words = _PART_WORDS - _HEADERS if in_main else _PART_WORDS
+    parts = [p for p in re.split(r"[-_]+", token) if p]
+    if not parts or _NOT_PARTS.intersection(parts):
+        return False
+    first, last = parts[0], parts[-1]
+    return last in words or first in _FIRST_WORDS or (first in words and last in _BOX_WORDS)
+
+
 def _is_part(name: str, attrs: str, in_main: bool) -> bool:
     """Whether an element is left out with all it holds."""
     if name in _LEFT_OUT:
@@ -84,8 +104,7 @@ def _is_part(name: str, attrs: str, in_main: bool) -> bool:
     for key, *values in _ATTRIBUTE.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
         if key in ("class", "id") and name not in _WHOLE:
-            found = _PART_WORDS.intersection(value.split())
-            if found - _HEADERS if in_main else found:
+            if any(_names_part(token, in_main) for token in value.split()):
                 return True
         if key == "role" and value in _ROLES:
             return True

@@ -129,7 +129,9 @@ def test_gradients_match_differences():
             total -= network.log_probabilities(state, targets[t]).sum()
         return total / 15
 
-    found, _ = language_model.Network(flat).gradients(inputs, keep, targets, h)
+    found, _ = language_model.Network(flat).gradients(
+        inputs, keep, targets, np.full((5, 3), 1 / 15, np.float32), h
+    )
     found = np.concatenate([found[n].ravel() for n in language_model.Network.SHAPES])
     for at in np.argsort(-np.abs(found))[::150][:25]:
         step = np.zeros(len(flat))
@@ -138,6 +140,24 @@ def test_gradients_match_differences():
         assert found[at] == pytest.approx(slope, rel=0.05, abs=1e-4)
 
 
+def test_training_steps_skip_no_token(monkeypatch):
+    counted = []
+    real = language_model.Network.gradients
+
+    def gradients(self, inputs, keep, targets, weights, h):
+        counted.append((targets[weights > 0], weights.sum()))
+        return real(self, inputs, keep, targets, weights, h)
+
+    monkeypatch.setattr(language_model.Network, "gradients", gradients)
+    for n in (1, 63, 64, 65, 20_011):
+        counted.clear()
+        sequence = np.random.default_rng(n).integers(0, language_model.CLASSES, n).astype(np.uint8)
+        network = language_model.Network(language_model.Network.start(np.ones(language_model.CLASSES)))
+        language_model.train_lanes(network, sequence)
+        assert sorted(np.concatenate([c for c, _ in counted]).tolist()) == sorted(sequence.tolist())
+        assert all(total == pytest.approx(1) for _, total in counted)
+
+
 def test_mixing_meets_targets(spark):
     rows = [(i, prose(i, 30 + i % 50) if i % 4 else prose(i, 20).upper() + "!!!") for i in range(120)]
     marks = labels(spark, [(i, int(i % 4 > 0), None) for i in range(0, 120, 2)])
@@ -305,3 +325,29 @@ def test_masking_keeps_everything_else(spark):
     assert by_id[9].n_chars == len(by_id[9].text)
     assert by_id[5].text is None and by_id[6].text == "" and by_id[1].text == texts()[0][1]
     assert by_id[9]._text == "a" and by_id[9]._row == "b"
+
+
+def test_parts_named_by_several_words_go_and_wrappers_stay():
+    body = "<p>Body text that counts.</p>"
+    for gone in ("user-comments", "ad-slot", "cookie-banner", "comment-list", "comments_area", "related-box", "left-sidebar", "share-buttons", "site-nav"):
+        page = f"<body><article>{body}<div class='x {gone}'><p>Not this.</p></div></article></body>"
+        assert html_text.main_text(page) == "Body text that counts.", gone
+    for kept in ("post-header", "has-sidebar", "no-comments", "content-with-sidebar", "search-results", "share-price", "ad-free", "header", "story-body", "related"[:4]):
+        page = f"<body class='has-sidebar'><article class='no-comments'><div id='{kept}'>{body}</div></article></body>"
+        assert html_text.main_text(page) == "Body text that counts.", kept
+
+
+def test_generated_pages_give_back_their_articles():
+    import random
+
+    draw = random.Random(8)
+    boxes = ["nav", "footer", "aside", "header", "div class='cookie-notice'", "div id='comments'", "div class='promo-box'", "section class='reader_comments'"]
+    for n in range(60):
+        blocks = [prose(1000 * n + i, draw.randint(4, 60)) for i in range(draw.randint(1, 9))]
+        inside = [f"<p>{b}</p>" for b in blocks]
+        for _ in range(draw.randint(0, 4)):
+            box = draw.choice([b for b in boxes if b != "header"])
+            inside.insert(draw.randint(0, len(inside)), f"<{box}><p>{prose(n, 20)}</p></{box.split()[0]}>")
+        around = [f"<{b}><a href='#'>{prose(n, 5)}</a></{b.split()[0]}>" for b in boxes]
+        page = f"<html><body>{''.join(around[:4])}<main>{''.join(inside)}</main>{''.join(around[4:])}</body></html>"
+        assert html_text.main_text(page) == "\n".join(blocks)
