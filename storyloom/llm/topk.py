@@ -4,7 +4,8 @@ Queries are rows of a block of bounded size, sent to the tasks that read the can
 Each component is a term: its posting list holds the candidates with a nonzero weight there,
 and every query with that term adds its weight times the list's weights into a dense row of
 scores. A task keeps k per query of what it read (partition selection), and those are merged
-per query. More queries mean more passes over the candidates, each with one block.
+per query. More queries mean more passes over the candidates, each with one block; a block's
+result is written before the next block starts.
 
 Defined cases: a vector that is null or holds a null, NaN or infinite component takes no
 part; vectors of unequal length score over the components they share; a candidate is every
@@ -19,12 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.llm.shared import new_folder
+
 CANDIDATE_BLOCK = 4096
 
 _RESULT = "query_id long, vec_id long, score long"
+_RANKED = "query_id long, rank int, vec_id long, score long"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -104,11 +109,7 @@ class Best:
         )
 
 
-def _search(candidates: DataFrame, block: list, k: int) -> DataFrame:
-    ids = np.array([r["vec_id"] for r in block], np.int64)
-    queries = _matrix([r["weights"] for r in block], max(len(r["weights"]) for r in block))
-    shared = candidates.sparkSession.sparkContext.broadcast((ids, queries))
-
+def _search(candidates: DataFrame, shared: Broadcast, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
         best = Best(ids, k)
@@ -134,6 +135,7 @@ def top_k(
 
     ``block_rows`` bounds the queries held by the driver and a task at once.
     """
+    spark = vectors.sparkSession
     candidates = integer_vectors(vectors, scale)
     asked = (
         candidates.where(F.col("vec_id") % every == 0)
@@ -142,18 +144,24 @@ def top_k(
     )
     n = asked.count()
     blocks = -(-n // block_rows)
-    found = None
+    path = new_folder(spark)
     for number in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number)
         rows = mine.collect()  # about block_rows rows
-        if rows:
-            part = _search(candidates, rows, k)
-            found = part if found is None else found.union(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+        if not rows:
+            continue
+        ids = np.array([r["vec_id"] for r in rows], np.int64)
+        queries = _matrix([r["weights"] for r in rows], max(len(r["weights"]) for r in rows))
+        shared = spark.sparkContext.broadcast((ids, queries))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        (
+            _search(candidates, shared, k)
+            .withColumn("rank", F.row_number().over(order))
+            .where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", "score")
+            .write.mode("append").parquet(path)
+        )
+        shared.destroy()  # one block at a time, on the driver and in the tasks
+    if not n:
+        return spark.createDataFrame([], _RANKED)
+    return spark.read.schema(_RANKED).parquet(path)
