@@ -46,6 +46,10 @@ LANES, WINDOW = 256, 32
 LEARNING_RATE = 0.01
 TOKENS_A_TASK = 1_000_000
 
+# Rows of the output layer worked on at a time, so that they stay in the cache.
+OUTPUT_ROWS = 2048
+_ONES = np.ones(CLASSES, np.float32)
+
 SCORE_LANES, SCORE_WINDOW = 256, 64
 BLOCK = 2000
 
@@ -150,6 +154,15 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     )
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; beyond 80 it is zero or one in these floats anyway."""
+    np.clip(x, -80, 80, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Network:
     """GRU weights: input rows by class, recurrence, and output to classes."""
 
@@ -180,22 +193,62 @@ class Network:
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """One step from input rows ``x``: (new state, update gate, reset gate, candidate)."""
         u = self.parts["u"]
-        gates = x[:, : 2 * STATE] + h @ u[:, : 2 * STATE]
-        gates = 0.5 * np.tanh(0.5 * gates) + 0.5
+        gates = h @ u[:, : 2 * STATE]
+        gates += x[:, : 2 * STATE]
+        gates = _sigmoid(gates)
         z, r = gates[:, :STATE], gates[:, STATE:]
-        c = np.tanh(x[:, 2 * STATE :] + (r * h) @ u[:, 2 * STATE :])
-        return h + z * (c - h), z, r, c
+        c = (r * h) @ u[:, 2 * STATE :]
+        c += x[:, 2 * STATE :]
+        c *= 2
+        c = _sigmoid(c)
+        c *= 2
+        c -= 1
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        logits = states @ self.parts["o"] + self.parts["b"]
-        chosen = logits[np.arange(len(targets)), targets]
-        top = logits.max(axis=1, keepdims=True)
-        logits -= top
-        np.exp(logits, out=logits)
-        return chosen - top[:, 0] - np.log(logits.sum(axis=1))
+        found = np.empty(len(targets), states.dtype)
+        for at in range(0, len(targets), OUTPUT_ROWS):
+            part = slice(at, at + OUTPUT_ROWS)
+            logits = states[part] @ self.parts["o"]
+            logits += self.parts["b"]
+            logits -= logits.max(axis=1, keepdims=True)
+            chosen = logits[np.arange(len(logits)), targets[part]]
+            np.exp(logits, out=logits)
+            found[part] = chosen - np.log(logits @ _ONES)
+        return found
+
+    def output_gradients(
+        self, states: np.ndarray, targets: np.ndarray, counted: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradients of the output weights and bias, and of the states.
+
+        ``counted`` has the weight of each token: one over their number, or zero.
+        """
+        p = self.parts
+        d_o, d_b, d_states = np.zeros_like(p["o"]), np.zeros_like(p["b"]), np.empty_like(states)
+        for at in range(0, len(targets), OUTPUT_ROWS):
+            part = slice(at, at + OUTPUT_ROWS)
+            d = states[part] @ p["o"]
+            d += p["b"]
+            d -= d.max(axis=1, keepdims=True)
+            np.exp(d, out=d)
+            d *= (counted[part] / (d @ _ONES))[:, None]
+            d[np.arange(len(d)), targets[part]] -= counted[part]
+            d_o += states[part].T @ d
+            d_b += d.sum(axis=0)
+            np.matmul(d, p["o"].T, out=d_states[part])
+        return d_o, d_b, d_states
 
     def gradients(
-        self, inputs: np.ndarray, keep: np.ndarray, targets: np.ndarray, h: np.ndarray
+        self,
+        inputs: np.ndarray,
+        keep: np.ndarray,
+        targets: np.ndarray,
+        counted: np.ndarray,
+        h: np.ndarray,
     ) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients over a window (steps, lanes), and the state it ends in."""
         p = self.parts
@@ -207,33 +260,42 @@ class Network:
             saved.append((h, z, r, c))
             states.append(new)
             h = new
-        flat = np.concatenate(states)
-        goal = targets.ravel()
-        logits = flat @ p["o"] + p["b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        d = np.exp(logits)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(goal)), goal] -= 1
-        d /= len(goal)
-        out = {"o": flat.T @ d, "b": d.sum(axis=0)}
-        from_output = (d @ p["o"].T).reshape(steps, -1, STATE)
-        d_u = np.zeros_like(p["u"])
-        d_x = np.zeros((steps, h.shape[0], 3 * STATE), np.float32)
+        d_o, d_b, from_output = self.output_gradients(
+            np.concatenate(states), targets.ravel(), counted.ravel()
+        )
+        from_output = from_output.reshape(steps, -1, STATE)
+        out = {"o": d_o, "b": d_b}
+        lanes = h.shape[0]
+        d_x = np.empty((steps, lanes, 3 * STATE), np.float32)
+        u_gates = np.ascontiguousarray(p["u"][:, : 2 * STATE].T)
+        u_new = np.ascontiguousarray(p["u"][:, 2 * STATE :].T)
         d_h = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
             before, z, r, c = saved[t]
-            d_h = d_h + from_output[t]
-            d_c = d_h * z * (1 - c * c)
-            d_z = d_h * (c - before) * z * (1 - z)
-            back = d_c @ p["u"][:, 2 * STATE :].T
-            d_r = back * before * r * (1 - r)
-            d_x[t, :, :STATE], d_x[t, :, STATE : 2 * STATE], d_x[t, :, 2 * STATE :] = d_z, d_r, d_c
-            d_u[:, : 2 * STATE] += before.T @ d_x[t, :, : 2 * STATE]
-            d_u[:, 2 * STATE :] += (r * before).T @ d_c
-            d_h = d_h * (1 - z) + back * r + d_x[t, :, : 2 * STATE] @ p["u"][:, : 2 * STATE].T
-            d_h = d_h * keep[t][:, None]
+            d_h += from_output[t]
+            into = d_x[t]
+            kept = d_h * z
+            np.multiply(kept, 1 - c * c, out=into[:, 2 * STATE :])
+            np.multiply(d_h * (c - before), z * (1 - z), out=into[:, :STATE])
+            back = into[:, 2 * STATE :] @ u_new
+            np.multiply(back * before, r * (1 - r), out=into[:, STATE : 2 * STATE])
+            d_h -= kept
+            back *= r
+            d_h += back
+            d_h += into[:, : 2 * STATE] @ u_gates
+            d_h *= keep[t][:, None]
+        # One product a window for each part of the recurrence.
+        flat_x = d_x.reshape(-1, 3 * STATE)
+        before = np.concatenate([x[0] for x in saved])
+        reset = np.concatenate([x[2] for x in saved])
+        reset *= before
+        d_u = np.concatenate([before.T @ flat_x[:, : 2 * STATE], reset.T @ flat_x[:, 2 * STATE :]], axis=1)
+        # Sums by input class: rows of one class together, each run added up at once.
+        flat = inputs.ravel()
+        order = np.argsort(flat, kind="stable")
+        kinds, first = np.unique(flat[order], return_index=True)
         rows = np.zeros_like(p["x"])
-        np.add.at(rows, inputs.ravel(), d_x.reshape(-1, 3 * STATE))
+        rows[kinds] = np.add.reduceat(flat_x[order], first)
         return out | {"u": d_u, "x": rows}, h
 
 
@@ -257,18 +319,29 @@ class Adam:
 
 
 def train_lanes(network: Network, sequence: np.ndarray) -> None:
-    """Steps over documents laid end to end; every class 0 ends one."""
+    """Steps over documents laid end to end; every class 0 ends one.
+
+    The sequence is cut into lanes of one length; what the last one lacks counts nothing.
+    """
+    if not len(sequence):
+        return
     lanes = min(LANES, max(1, len(sequence) // (2 * WINDOW)))
-    n = len(sequence) // lanes
-    target = sequence[: lanes * n].reshape(lanes, n).T
+    n = -(-len(sequence) // lanes)
+    padded = np.zeros(lanes * n, np.uint8)
+    padded[: len(sequence)] = sequence
+    real = (np.arange(lanes * n) < len(sequence)).reshape(lanes, n).T
+    target = padded.reshape(lanes, n).T
     source = np.zeros_like(target)
     source[1:] = target[:-1]
+    source[0, 1:] = target[-1, :-1]  # a lane goes on from the one before, but for its state
     keep = (source != 0).astype(np.float32)  # a new document starts from an empty state
     h = np.zeros((lanes, STATE), np.float32)
     adam = Adam(network)
     for at in range(0, n, WINDOW):
         part = slice(at, at + WINDOW)
-        gradients, h = network.gradients(source[part], keep[part], target[part], h)
+        counted = real[part].astype(np.float32)
+        counted /= max(1.0, float(counted.sum()))
+        gradients, h = network.gradients(source[part], keep[part], target[part], counted, h)
         adam.step(gradients)
 
 
@@ -320,11 +393,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         shared = spark.sparkContext.broadcast(weights)
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            network, seen = Network(shared.value), 0
-            for batch in batches:
-                sequence = np.frombuffer(b"".join(batch.column("sequence").to_pylist()), np.uint8)
-                train_lanes(network, sequence)
-                seen += len(sequence)
+            network = Network(shared.value)
+            # A byte a token, about TOKENS_A_TASK of them: the steps don't depend on batches.
+            found = [x for batch in batches for x in batch.column("sequence").to_pylist()]
+            sequence = np.frombuffer(b"".join(found), np.uint8)
+            train_lanes(network, sequence)
+            seen = len(sequence)
             if seen:
                 flat = network.flat()
                 yield pa.RecordBatch.from_arrays(
@@ -378,18 +452,21 @@ def class_scores(network: Network, classes: np.ndarray, bounds: np.ndarray) -> n
     x = network.parts["x"]
     for at in range(0, int(length[0]), SCORE_WINDOW):
         active = int((length > at).sum())
-        states, where = [], []
-        for t in range(at, min(at + SCORE_WINDOW, int(length[0]))):
-            while length[active - 1] <= t:
-                active -= 1
-            here = np.fromiter((p[t] for p in places[:active]), np.int64, active)
-            begin = starts[here]
-            h = h[:active] * ~begin[:, None]
-            h = network.step(x[np.where(begin, 0, previous[here])], h)[0]
+        # (steps, lanes) of this window; lanes are in order of length, so gaps end a row.
+        window = np.full((min(SCORE_WINDOW, int(length[0]) - at), active), -1, np.int64)
+        for lane in range(active):
+            part = places[lane][at : at + SCORE_WINDOW]
+            window[: len(part), lane] = part
+        begin = starts[window]
+        source = np.where(begin, 0, previous[window])
+        width = (window >= 0).sum(axis=1).tolist()
+        states = []
+        for t, active in enumerate(width):
+            h = h[:active] * ~begin[t, :active, None]
+            h = network.step(x[source[t, :active]], h)[0]
             states.append(h)
-            where.append(here)
-        places_now = np.concatenate(where)
-        out[places_now] = network.log_probabilities(np.concatenate(states), classes[places_now])
+        here = np.concatenate([window[t, :w] for t, w in enumerate(width)])
+        out[here] = network.log_probabilities(np.concatenate(states), classes[here])
     return out / np.log(10)
 
 
