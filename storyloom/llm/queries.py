@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storyloom.llm import (
     drift_clusters,
@@ -58,7 +59,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    # Bytes of a character that a removed stretch cut are not text: they turn into U+FFFD.
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text)
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
