@@ -16,6 +16,7 @@ from storyloom.functions.labels import (
     label_key,
     may_be_same_story,
 )
+from storyloom.session import cut
 
 # Sorts labels nobody grouped behind every proposed group.
 UNGROUPED = 1 << 62
@@ -169,7 +170,7 @@ def merge_labels(labels: DataFrame, proposals: DataFrame, **lists) -> DataFrame:
     which placements add articles to their group. Labels in no proposal keep
     their own name.
     """
-    clustered = label_clusters(group_members(labels, proposals), **lists)
+    clustered = cut(label_clusters(group_members(labels, proposals), **lists))
     named = name_clusters(clustered, **lists)
 
     def order(group: Column, cluster: Column, position: Column) -> Column:

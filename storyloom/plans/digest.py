@@ -10,6 +10,7 @@ from storyloom.functions.dates import reported_text
 from storyloom.functions.render import digest_headline, source_line
 from storyloom.functions.stories import choose, trend_code, trend_name
 from storyloom.plans.briefing import article_age
+from storyloom.session import cut
 
 LINE_ORDER = [
     "theme_rank", "minus_importance", "first_ordinal", "block", "undated", "age", "item_order",
@@ -20,17 +21,21 @@ def digest_stories(
     tracked: DataFrame, label: str = "canonical_label", themes: list[str] = THEMES
 ) -> DataFrame:
     """One row per theme and story; themes outside the list are left out."""
+    return _all_stories(tracked, label, themes).where("theme_rank IS NOT NULL")
+
+
+def _all_stories(tracked: DataFrame, label: str, themes: list[str]) -> DataFrame:
+    """Stories of every theme; those outside the list have no ``theme_rank``."""
     ranks = {theme: i + 1 for i, theme in enumerate(themes)}
     return (
-        tracked.filter(F.col("theme").isin(themes))
-        .groupBy("theme", F.col(label).alias("label"))
+        tracked.groupBy("theme", F.col(label).alias("label"))
         .agg(
             F.max("importance").alias("max_importance"),
             F.min_by(trend_code("trend"), F.col("ordinal")).alias("_trend"),
             F.min("ordinal").alias("first_ordinal"),
             F.count("*").alias("article_count"),
         )
-        .withColumn("theme_rank", choose("theme", ranks))
+        .withColumn("theme_rank", choose("theme", ranks, None))
         .withColumn("trend", trend_name("_trend"))
         .drop("_trend")
     )
@@ -49,7 +54,9 @@ def digest_lines(
     """
     if "trend" not in tracked.columns:
         tracked = tracked.withColumn("trend", F.lit(None).cast("string"))
-    stories = digest_stories(tracked, label, themes)
+    # Articles are read twice: for their stories, written once, and for their lines.
+    every = cut(_all_stories(tracked, label, themes))
+    stories = every.where("theme_rank IS NOT NULL")
     place = [F.col("theme_rank"), (-F.col("max_importance")).alias("minus_importance"),
              F.col("first_ordinal")]
 
@@ -93,7 +100,7 @@ def digest_lines(
             F.col("ordinal"),
         ),
     )
-    count = tracked.groupBy().agg(F.count("*").alias("_n"))
+    count = every.groupBy().agg(F.coalesce(F.sum("article_count"), F.lit(0)).alias("_n"))
     stamp = F.concat(
         F.lit(f"_Generated {generated_at} — "), F.col("_n").cast("string"), F.lit(" articles_")
     )

@@ -12,13 +12,17 @@ from storyloom.functions.stories import edition_description, movement_tag
 from storyloom.operators.locations import story_locations
 from storyloom.operators.rollup import top_sources
 from storyloom.operators.sections import edition_sections
+from storyloom.session import cut
+
+_USED = ["canonical_label", "title", "description", "theme", "source", "ordinal"]
 
 
 def edition_rows(filled: DataFrame, tracked: DataFrame, gazetteer=GAZETTEER) -> DataFrame:
     """Tag, meta line, body, sources and location of every displayed story."""
-    shown = edition_sections(filled)
+    shown = cut(edition_sections(filled))
     labels = F.broadcast(shown.select("canonical_label"))
-    articles = tracked.join(labels, "canonical_label", "left_semi")
+    # Written once: places, sources and their counts all read the few stories shown.
+    articles = cut(tracked.join(labels, "canonical_label", "left_semi").select(*_USED))
     latest = F.coalesce(
         utc_minutes("latest_reported"), F.col("first_published_at"), F.lit("unknown time")
     )

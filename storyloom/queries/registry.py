@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ["intake", "coverage", "labeling", "matching", "grounding", "reports", "state"]
+_MODULES = ["intake", "coverage", "labeling", "matching", "grounding", "reports", "state", "runs"]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -321,8 +321,7 @@ def digest_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""
-WITH {_DIGEST},
+DIGEST_LINES = f"""{_DIGEST},
 every AS (
   SELECT theme_rank, -max_importance AS minus_importance, first_ordinal, unnest([0, 1]) AS block,
          0 AS undated, 0 AS age, 0 AS item_order,
@@ -337,7 +336,11 @@ every AS (
   FROM (SELECT DISTINCT theme, theme_rank FROM digest)
   UNION ALL SELECT 0, 0, 0, unnest(range(0, 5)), 0, 0, 0, unnest(['# News Digest',
     '_Generated {_STAMP} — ' || (SELECT count(*) FROM tracked) || ' articles_', '', '---', ''])
-)
+)"""
+
+
+@query(f"""
+WITH {DIGEST_LINES}
 SELECT CAST(theme_rank AS BIGINT) AS theme_rank, CAST(minus_importance AS BIGINT) AS minus_importance,
        CAST(first_ordinal AS BIGINT) AS first_ordinal, CAST(block AS BIGINT) AS block,
        CAST(undated AS BIGINT) AS undated, CAST(age AS BIGINT) AS age,
