@@ -195,7 +195,69 @@ def tracking_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tracked(_run_of_day(spark, sf_dir, lambda history: history).stories)
 
 
-def _run_of_day(spark: SparkSession, sf_dir: str, kept: Callable[[History], History | StoryDays]) -> Tracked:
+# Users whose id leaves 1 or 2 by six are proposed as one group, the later one first.
+_GROUPED = f"""{a.ART}, {a.ART_DAILY},
+batch AS (
+  SELECT *, CASE WHEN story_id % 6 = 2 THEN story_id - 1 ELSE story_id END AS owner,
+         story_id % 6 IN (1, 2) AS proposed
+  FROM art WHERE date = DATE '{_RUN_DATE}'
+),
+past AS (SELECT * FROM art WHERE date < DATE '{_RUN_DATE}'),
+seen AS (
+  SELECT story_id, min(date) AS first_seen, max(date) AS last_seen FROM past GROUP BY story_id
+),
+groups AS (
+  SELECT owner, bool_or(proposed) AS grouped, min(ordinal) AS first_ordinal,
+         count(DISTINCT source) AS source_count, avg(importance) AS importance_avg
+  FROM batch GROUP BY owner
+),
+resolved AS (
+  SELECT g.*, CASE WHEN g.owner % 6 = 0 AND m.last_seen >= DATE '{_RUN_DATE}' - 14 THEN m.story_id
+                   WHEN s.last_seen >= DATE '{_RUN_DATE}' - 14 THEN s.story_id END AS known_id,
+         g.owner % 6 = 0 AND m.last_seen >= DATE '{_RUN_DATE}' - 14 IS TRUE AS matched,
+         CASE WHEN g.grouped THEN g.owner ELSE g.first_ordinal END AS place
+  FROM groups g
+  LEFT JOIN seen s ON s.story_id = g.owner AND g.owner % 2 = 1
+  LEFT JOIN seen m ON m.story_id = g.owner + 1
+),
+numbered AS (
+  SELECT *, coalesce(known_id, (SELECT max(story_id) FROM seen)
+           + row_number() OVER (PARTITION BY known_id IS NULL ORDER BY NOT grouped, place)) AS new_id
+  FROM resolved
+)"""
+
+
+@query(f"""
+WITH {_GROUPED}
+SELECT b.id, n.new_id AS story_id,
+       CASE WHEN n.matched THEN 'user ' || (n.owner + 1) ELSE 'user ' || n.owner END AS canonical_label,
+       n.source_count, round(n.importance_avg, 6) AS importance_avg,
+       row_number() OVER (ORDER BY NOT n.grouped, n.place, n.grouped AND b.story_id % 6 = 1, b.ordinal) AS place
+FROM batch b JOIN numbered n USING (owner)
+""")
+def track_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tracking run under group proposals, with the place of each article in all reports."""
+    user = F.col("story_id")
+    base = F.when(user % 6 == 2, user - 1).otherwise(user)
+    name = lambda number: F.concat(F.lit("user "), number.cast("string"))
+    rows = a.articles(spark, sf_dir).where(F.col("date") == F.lit(_RUN_DATE).cast("date"))
+    groups = rows.where((user % 6).isin(1, 2)).select(base.alias("group_pos")).distinct()
+    number = F.col("group_pos")
+    groups = groups.withColumn("canonical_label", name(number)).withColumn("labels", F.array(name(number + 1), name(number)))
+    out = _run_of_day(spark, sf_dir, lambda history: history, groups)
+    metrics = out.stories.select("group_label", "source_count", "importance_avg")
+    return out.articles.join(metrics, "group_label").select(
+        "id", "story_id", "canonical_label", "source_count",
+        F.round("importance_avg", 6).alias("importance_avg"), F.col("ordinal").cast("bigint").alias("place"),
+    )
+
+
+def _run_of_day(
+    spark: SparkSession,
+    sf_dir: str,
+    kept: Callable[[History], History | StoryDays],
+    groups: DataFrame | None = None,
+) -> Tracked:
     rows = a.articles(spark, sf_dir)
     day = F.lit(_RUN_DATE).cast("date")
     user = F.col("story_id")
@@ -216,7 +278,7 @@ def _run_of_day(spark: SparkSession, sf_dir: str, kept: Callable[[History], Hist
     batch = rows.filter(F.col("date") == day).withColumn("text", F.lit("")).drop(
         "story_id", "canonical_label", "date"
     )
-    return track(batch, kept(history), _RUN_DATE, matches=matches)
+    return track(batch, kept(history), _RUN_DATE, groups, matches)
 
 
 def _tracked_rows(out) -> DataFrame:
