@@ -19,6 +19,7 @@ from storyloom.plans.claims import (
     next_claims,
 )
 from storyloom.plans.claims import story_claims as describe_claims
+from storyloom.plans.briefing import evidence_lines
 from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
 
@@ -349,17 +350,40 @@ def story_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""
-WITH {_DESCRIBED}
-SELECT claim_id, '- `' || claim_type || '` — '
+_LINE = """'- `' || claim_type || '` — '
        || CASE WHEN missing THEN 'Unknown source'
                ELSE '[' || coalesce(nullif(source, ''), 'Unknown source') || '](' || url || ')' END
        || ' — "' || evidence_span || '" _('
-       || CAST(trunc(CASE WHEN confidence = 0 THEN 0.5 ELSE confidence END * 100) AS INTEGER) || '%)_' AS line
-FROM described
+       || CAST(trunc(CASE WHEN confidence = 0 THEN 0.5 ELSE confidence END * 100) AS INTEGER) || '%)_'"""
+
+
+@query(f"""
+WITH {_DESCRIBED}
+SELECT claim_id, {_LINE} AS line FROM described
 """)
 def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence line of every claim."""
     claims = describe_claims(_label_claims(spark, sf_dir), _stored_articles(spark, sf_dir))
     line = evidence_line("claim_type", "source", "url", "evidence_span", "confidence")
     return claims.select("claim_id", line.alias("line"))
+
+
+@query(f"""
+WITH {_DESCRIBED},
+best AS (
+  SELECT *, {_LINE} AS line, row_number() OVER (PARTITION BY story_id ORDER BY confidence DESC, claim_id) AS n
+  FROM described QUALIFY n <= 8
+)
+SELECT story_id, 210 AS block, n AS item_order, line FROM best
+UNION ALL
+SELECT story_id, unnest([200, 201]), 0, unnest(['', '### Evidence']) FROM (SELECT DISTINCT story_id FROM best)
+""")
+def evidence_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence part of a briefing: heading and the eight surest claims of every story."""
+    claims = describe_claims(_label_claims(spark, sf_dir), _stored_articles(spark, sf_dir))
+    shown = claims.select("story_id").distinct().select(
+        "story_id", F.lit(0).alias("section_rank"), F.col("story_id").alias("rank")
+    )
+    return evidence_lines(claims, shown).select(
+        F.col("rank").alias("story_id"), F.col("block").cast("int").alias("block"), "item_order", "line"
+    )
