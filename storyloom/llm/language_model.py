@@ -48,9 +48,9 @@ TOKENS_A_TASK = 1_000_000
 
 # Rows of the output layer worked on at a time, so that they stay in the cache.
 OUTPUT_ROWS = 2048
-_ONES = np.ones(CLASSES, np.float32)
+_ROWS = np.ones(OUTPUT_ROWS, np.float32)
 
-SCORE_LANES, SCORE_WINDOW = 256, 64
+SCORE_LANES, SCORE_WINDOW = 512, 64
 BLOCK = 2000
 
 
@@ -103,14 +103,18 @@ class Vocabulary:
     types: int
     ends: int
 
-    def classes(self, words: list[str]) -> np.ndarray:
-        return np.fromiter((self.class_of(w) for w in words), np.uint8, len(words))
+    def classes(self, words: pa.Array) -> np.ndarray:
+        """The class of each word, worked out once for each ending."""
+        coded = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+        endings = [_ending_class(x) for x in coded.dictionary.to_pylist()]
+        found = np.array(endings, np.uint8)[coded.indices.to_numpy()]
+        names = pa.array(list(self.singles), pa.string())
+        single = pc.fill_null(pc.index_in(words, names), -1).to_numpy()
+        return np.where(single >= 0, np.array(list(self.singles.values()), np.uint8)[single], found)
 
-    def class_of(self, word: str) -> int:
-        found = self.singles.get(word)
-        if found is None:
-            found = SINGLES + 1 + zlib.crc32(word[-2:].encode("utf-8", "replace")) % SHARED
-        return found
+
+def _ending_class(ending: str) -> int:
+    return SINGLES + 1 + zlib.crc32(ending.encode("utf-8", "replace")) % SHARED
 
 
 def read_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -154,9 +158,10 @@ def read_vocabulary(counts: DataFrame) -> Vocabulary:
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
+def _sigmoid(x: np.ndarray, safe: bool) -> np.ndarray:
     """In place; beyond 80 it is zero or one in these floats anyway."""
-    np.clip(x, -80, 80, out=x)
+    if not safe:
+        np.clip(x, -80, 80, out=x)
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
@@ -179,6 +184,7 @@ class Network:
             n = int(np.prod(shape))
             self.parts[name] = flat[at : at + n].reshape(shape).astype(np.float32)
             at += n
+        self.safe = self.bounded()
 
     @classmethod
     def start(cls, class_counts: np.ndarray) -> np.ndarray:
@@ -195,12 +201,12 @@ class Network:
         u = self.parts["u"]
         gates = h @ u[:, : 2 * STATE]
         gates += x[:, : 2 * STATE]
-        gates = _sigmoid(gates)
+        gates = _sigmoid(gates, self.safe)
         z, r = gates[:, :STATE], gates[:, STATE:]
         c = (r * h) @ u[:, 2 * STATE :]
         c += x[:, 2 * STATE :]
         c *= 2
-        c = _sigmoid(c)
+        c = _sigmoid(c, self.safe)
         c *= 2
         c -= 1
         new = c - h
@@ -208,16 +214,34 @@ class Network:
         new += h
         return new, z, r, c
 
+    def bounded(self) -> bool:
+        """Whether no exponent can leave the range of these floats: states lie within one."""
+        p = self.parts
+        out = np.abs(p["b"]) + np.abs(p["o"]).sum(axis=0)
+        gates = np.abs(p["x"]).max(axis=0) + np.abs(p["u"]).sum(axis=0)
+        return max(float(out.max()), float(gates.max()) * 2) < 60
+
+    def _outputs(self, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponents of the classes without their bias, and the exponents of the bias.
+
+        Where they could be too large, the largest logit of a row is taken off first.
+        """
+        p = self.parts
+        logits = states @ p["o"]
+        if self.safe:
+            return logits, np.exp(p["b"])
+        logits += p["b"]
+        logits -= logits.max(axis=1, keepdims=True)
+        return logits, np.ones_like(p["b"])
+
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         found = np.empty(len(targets), states.dtype)
         for at in range(0, len(targets), OUTPUT_ROWS):
             part = slice(at, at + OUTPUT_ROWS)
-            logits = states[part] @ self.parts["o"]
-            logits += self.parts["b"]
-            logits -= logits.max(axis=1, keepdims=True)
+            logits, shares = self._outputs(states[part])
             chosen = logits[np.arange(len(logits)), targets[part]]
             np.exp(logits, out=logits)
-            found[part] = chosen - np.log(logits @ _ONES)
+            found[part] = chosen + np.log(shares)[targets[part]] - np.log(logits @ shares)
         return found
 
     def output_gradients(
@@ -231,15 +255,15 @@ class Network:
         d_o, d_b, d_states = np.zeros_like(p["o"]), np.zeros_like(p["b"]), np.empty_like(states)
         for at in range(0, len(targets), OUTPUT_ROWS):
             part = slice(at, at + OUTPUT_ROWS)
-            d = states[part] @ p["o"]
-            d += p["b"]
-            d -= d.max(axis=1, keepdims=True)
+            # Differences of probabilities, still to be multiplied by the classes' shares.
+            d, shares = self._outputs(states[part])
             np.exp(d, out=d)
-            d *= (counted[part] / (d @ _ONES))[:, None]
-            d[np.arange(len(d)), targets[part]] -= counted[part]
-            d_o += states[part].T @ d
-            d_b += d.sum(axis=0)
-            np.matmul(d, p["o"].T, out=d_states[part])
+            d *= (counted[part] / (d @ shares))[:, None]
+            goal = targets[part]
+            d[np.arange(len(d)), goal] -= counted[part] / shares[goal]
+            d_o += (states[part].T @ d) * shares
+            d_b += (_ROWS[: len(d)] @ d) * shares
+            np.matmul(d, (p["o"] * shares).T, out=d_states[part])
         return d_o, d_b, d_states
 
     def gradients(
@@ -316,6 +340,7 @@ class Adam:
             m = self.m[name] / (1 - 0.9**self.t)
             v = self.v[name] / (1 - 0.99**self.t)
             self.network.parts[name] -= LEARNING_RATE * m / (np.sqrt(v) + 1e-8)
+        self.network.safe = self.network.bounded()
 
 
 def train_lanes(network: Network, sequence: np.ndarray) -> None:
@@ -358,7 +383,7 @@ def training_sequences(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, bounds, words = split_words(pa.concat_arrays([batch.column("text")]))
-            classes = shared.value.classes(words.to_pylist())[codes]
+            classes = shared.value.classes(words)[codes]
             sequences = [
                 classes[a:b].tobytes() + b"\0" for a, b in zip(bounds, bounds[1:], strict=False)
             ]
@@ -380,7 +405,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     sequences = settle(training_sequences(docs, vocabulary))
     counts = np.zeros(CLASSES)
     # Class shares follow from the word counts: no pass over texts.
-    np.add.at(counts, vocabulary.classes(vocabulary.words.to_pylist()), vocabulary.counts)
+    np.add.at(counts, vocabulary.classes(vocabulary.words), vocabulary.counts)
     counts[0] = vocabulary.ends
     weights = Network.start(counts)
     sizes = {
@@ -494,7 +519,7 @@ def _score_parts(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray) -
                 texts = _strings(batch, at)
                 codes, bounds, words = split_words(texts)
                 place = pc.fill_null(pc.index_in(words, known_words), -1).to_numpy()
-                kinds = vocabulary.classes(words.to_pylist())
+                kinds = vocabulary.classes(words)
                 sizes = np.diff(bounds)
                 n_docs = len(sizes)
                 doc_of = np.repeat(np.arange(n_docs), sizes)
