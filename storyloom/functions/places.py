@@ -43,21 +43,23 @@ def name_table(gazetteer: DataFrame) -> DataFrame:
     ).drop("_pieces")
 
 
-def name_starts(piece_column: str, longest: int) -> Column:
+def name_starts(piece_column: str, longest: int, firsts: list[str] | None = None) -> Column:
     """Array of (at, first, inside, rest): each piece, and it with what follows it.
 
     ``rest`` has one piece more than the longest name, to see whether a word goes on.
-    ``inside`` says that a letter or digit stands right before the piece.
+    ``inside`` says that a letter or digit stands right before the piece. Where ``firsts``
+    are known, other pieces are left out before anything is put together.
     """
     listed = F.col(piece_column)
-    before = lambda i: F.get(listed, i - 1)
+    starts = F.transform(listed, lambda piece, i: F.struct(i.alias("at"), piece.alias("first")))
+    keep = (lambda s: s["first"] != " ") if firsts is None else (lambda s: s["first"].isin(firsts))
     return F.transform(
-        listed,
-        lambda piece, i: F.struct(
-            i.alias("at"),
-            piece.alias("first"),
-            F.coalesce(before(i).rlike(_WORD), F.lit(False)).alias("inside"),
-            F.array_join(F.slice(listed, i + 1, longest + 1), "").alias("rest"),
+        F.filter(starts, keep),
+        lambda s: F.struct(
+            s["at"].alias("at"),
+            s["first"].alias("first"),
+            F.coalesce(F.get(listed, s["at"] - 1).rlike(_WORD), F.lit(False)).alias("inside"),
+            F.array_join(F.slice(listed, s["at"] + 1, longest + 1), "").alias("rest"),
         ),
     )
 

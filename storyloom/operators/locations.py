@@ -23,28 +23,34 @@ ARTICLE_WEIGHT = 1
 # Names of so many places at most are sent to all tasks; of more, Spark decides by size.
 BROADCAST_NAMES = 100_000
 
+# Of so many names at most the first pieces are listed, so that other pieces go at once.
+LISTED_NAMES = 10_000
+
 _PLACE = ["place_rank", "label", "lat", "lon", "scope"]
 
 
-def _names(articles: DataFrame, gazetteer) -> tuple[DataFrame, int]:
-    """The table of names, and the number of pieces of the longest."""
+def _names(articles: DataFrame, gazetteer) -> tuple[DataFrame, int, list[str] | None]:
+    """The table of names, the number of pieces of the longest, and first pieces if few."""
     spark = articles.sparkSession
     table = gazetteer if isinstance(gazetteer, DataFrame) else gazetteer_table(spark, gazetteer)
     names = name_table(table)
     size = names.agg(F.max("length").alias("longest"), F.count("*").alias("n")).first()
-    return F.broadcast(names) if size["n"] <= BROADCAST_NAMES else names, size["longest"] or 1
+    firsts = None
+    if size["n"] <= LISTED_NAMES:
+        firsts = [r["first"] for r in names.select("first").distinct().collect()]
+    return F.broadcast(names) if size["n"] <= BROADCAST_NAMES else names, size["longest"] or 1, firsts
 
 
-def _found(texts: DataFrame, names: DataFrame, longest: int) -> DataFrame:
+def _found(texts: DataFrame, names: DataFrame, longest: int, firsts: list[str] | None) -> DataFrame:
     """``texts`` with the names that stand in ``_text``; a row without a name for every text.
 
     The pieces that start no name end here, before anything is shuffled.
     """
     columns = [c for c in texts.columns if c != "_text"]
     cut = texts.withColumn("_pieces", pieces("_text"))
-    starts = cut.select(*columns, F.explode_outer(name_starts("_pieces", longest)).alias("_start"))
-    first = F.coalesce(F.col("_start.at"), F.lit(0)) == 0
-    starts = starts.where(first | (F.col("_start.first") != " "))
+    found = F.posexplode_outer(name_starts("_pieces", longest, firsts)).alias("_pos", "_start")
+    starts = cut.select(*columns, found)
+    first = F.coalesce("_pos", F.lit(0)) == 0
     hit = (F.col("_start.first") == F.col("first")) & starts_with_name("_start", "alias")
     return (
         starts.join(names, hit, "left")
@@ -58,7 +64,7 @@ def _evidence(articles: DataFrame, gazetteer, keywords: list[str]) -> DataFrame:
 
     Articles are read once for their texts and once for the labels alone.
     """
-    names, longest = _names(articles, gazetteer)
+    names, longest, firsts = _names(articles, gazetteer)
     nothing = F.lit(False)
     theme = F.col("theme") == "Economy" if "theme" in articles.columns else nothing
     in_articles = articles.select(
@@ -77,7 +83,7 @@ def _evidence(articles: DataFrame, gazetteer, keywords: list[str]) -> DataFrame:
         said = texts.withColumn("global", mentions_global(F.col("_text"), keywords)).withColumn(
             "has_text", F.col("_text") != ""
         )
-        return _found(said, names, longest)
+        return _found(said, names, longest, firsts)
 
     return (
         look(in_articles)
