@@ -146,6 +146,13 @@ def test_main_text(spark, nested):
     assert [got[i] for i in range(len(FLAT))] == [text for _, text in FLAT]
 
 
+@pytest.mark.parametrize("nested", [False, True])
+def test_references_that_are_cut_off_stay(spark, nested):
+    html = "<article><h1>and&amp</h1><p>&lt &copy, &#233 &notit; &amp;amp &&amp;</p></article>"
+    pages = spark.createDataFrame([(html,)], "html string")
+    assert column(page_text(pages, nested), "text") == ["and&amp\n&lt &copy, &#233 &notit; &amp &&"]
+
+
 def test_nested_markup_needs_the_parser(spark):
     html = "<article>a<nav>x<nav>y</nav>z</nav><article>b</article>c</article>"
     pages = spark.createDataFrame([(html,)], "html string")
