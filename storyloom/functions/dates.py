@@ -22,15 +22,21 @@ _ZONES = {
     "+0000": "[A-Za-z]+",
 }
 _FORMAT = "d MMM yyyy H:mm[:ss] xx"
+# The spelling that nearly all dates have, with the place and length of what the format reads.
+_USUAL = r"^[A-Za-z]{3}, \d\d [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d (?:GMT|[+-]\d{4})$"
+_USUAL_START, _USUAL_LENGTH = 6, 21
 
 
 def parse_reported(raw: Column | str) -> Column:
     """Mail date -> UTC time; null when the text is not one.
 
-    The text is brought to one spelling step by step, so every step reads the one
-    before it once and the expression stays small.
+    The usual spelling is cut out as it stands. Other text is brought to one spelling step by
+    step, so every step reads the one before it once and the expression stays small.
     """
-    text = F.regexp_replace(clean(raw), r"\s*\(.*\)$", "")
+    found = clean(raw)
+    zone = F.replace(F.substring(found, _USUAL_START + _USUAL_LENGTH, 5), F.lit("GMT"), F.lit("+0000"))
+    usual = F.concat(F.substring(found, _USUAL_START, _USUAL_LENGTH), zone)
+    text = F.regexp_replace(found, r"\s*\(.*\)$", "")
     text = F.regexp_replace(text, r"^[A-Za-z]+,?\s+", "")
     text = F.regexp_replace(text, r"^(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+", "$1 $2 ")
     text = F.regexp_replace(text, r"^(\d+ \w{3}) (6[0-8]|[0-5]\d)\s", "$1 20$2 ")
@@ -39,6 +45,7 @@ def parse_reported(raw: Column | str) -> Column:
         text = F.regexp_replace(text, rf"(?i)(\d)\s*(?:{names})$", f"$1 {offset}")
     text = F.regexp_replace(text, r"(:\d\d)$", "$1 +0000")
     text = F.regexp_replace(text, r"\s+", " ")
+    text = F.when(found.rlike(_USUAL), usual).otherwise(text)
     moment = F.unix_seconds(F.try_to_timestamp(text, F.lit(_FORMAT)))
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return epoch + F.make_dt_interval(secs=moment)

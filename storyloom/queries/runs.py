@@ -22,7 +22,7 @@ from storyloom.queries import adapters as a
 from storyloom.queries.registry import query
 from storyloom.queries.reports import DIGEST_LINES
 from storyloom.queries.reports import _STAMP as REPORT_STAMP
-from storyloom.session import run_folder
+from storyloom.session import cut, run_folder
 from storyloom.sources.sinks import write_daily_snapshot, write_lines
 from storyloom.sources.state import StateStore
 
@@ -168,10 +168,11 @@ SELECT article_id AS id, source, title, '{_DATE}' AS date FROM kept
 def snapshot_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day's articles written as a JSON snapshot (twice) and read back."""
     path = _folder(spark, "snapshot")
-    articles = ingest(_items(spark, sf_dir), _DATE).articles
+    articles = cut(ingest(_items(spark, sf_dir), _DATE).articles)
     write_daily_snapshot(articles.limit(3), path, _DATE)
     write_daily_snapshot(articles, path, _DATE)
-    return spark.read.json(path).select("id", "source", "title", F.col("date").cast("string").alias("date"))
+    rows = spark.read.schema("id string, source string, title string, date string").json(path)
+    return rows.select("id", "source", "title", F.col("date").cast("string").alias("date"))
 
 
 @query(f"""
