@@ -121,7 +121,9 @@ def store_day(
     replies the next run of the date can use.
     """
     ingested = ingest(items, today, cap, pages)
-    labeled = label(ingested.articles, store.read("article_labels"), replies.labels)
+    # The date of every item is parsed for it; labels read it several times.
+    articles = cut(ingested.articles)
+    labeled = label(articles, store.read("article_labels"), replies.labels)
     batch = cut(labeled.labeled)
     history = load_history(store)
     if run_reports:

@@ -189,15 +189,15 @@ FROM grouped
 def stored_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run from items to state, with stored labels: stories and observations read back."""
     store = StateStore(spark, _folder(spark, "state"))
-    rows = a.articles(spark, sf_dir)
+    # Items without a link share an address; of the day's, the first is the one that stays.
+    kept = ingest(_items(spark, sf_dir), _DATE).articles.select("ordinal")
+    rows = a.articles(spark, sf_dir).join(kept, "ordinal", "left_semi")
     labels = rows.select(
         article_id(normalize_url("url")).alias("article_id"), "url", "title", "description",
         content_hash("title", "description").alias("content_hash"), "theme", "story_label", "importance",
-        F.lit(LABEL_MODEL).alias("model"), F.lit(LABEL_VERSION).alias("version"), "ordinal",
+        F.lit(LABEL_MODEL).alias("model"), F.lit(LABEL_VERSION).alias("version"),
     )
-    # Items without a link share an address; of the day's, the first is the one that stays.
-    kept = ingest(_items(spark, sf_dir), _DATE).articles.select("ordinal")
-    store.replace_keys("article_labels", labels.join(kept, "ordinal", "left_semi"))
+    store.replace_keys("article_labels", labels)
     store_day(_items(spark, sf_dir), store, Replies.read(spark, None), _DATE)
     observed = store.read("story_observations", since=_DATE)
     return store.read("stories").join(observed, "story_id").select(
