@@ -79,16 +79,34 @@ def newest_per_label(stories: DataFrame, keys: list[str] = ["canonical_label"])
     )
 
 
+def _newest_by_day(stories: DataFrame, daily: DataFrame) -> DataFrame:
+    """(canonical_label, last_daily, story_id): of a label's stories of a day the largest id.
+
+    Whatever comes before the next day of a label, all its stories of this day were last seen
+    on it, so none of the others counts. Dates and ids are summed up by hash, before anything
+    is ordered or laid out.
+    """
+    return (
+        daily.select("story_id", "date")
+        .join(stories.select("story_id", "canonical_label"), "story_id")
+        .groupBy("canonical_label", F.col("date").alias("last_daily"))
+        .agg(F.max("story_id").alias("story_id"))
+    )
+
+
 def recent_stories(
     stories: DataFrame, daily: DataFrame, today: Column, lookback_days: int = LOOKBACK_DAYS
 ) -> DataFrame:
-    """Stories seen in the ``lookback_days`` before ``today``, one per label."""
-    seen = (
-        daily.filter((F.col("date") >= F.date_sub(today, lookback_days)) & (F.col("date") < today))
-        .groupBy("story_id")
-        .agg(F.max("date").alias("last_daily"))
+    """Stories seen in the ``lookback_days`` before ``today``, one per label.
+
+    The one of the latest day counts, then the larger id.
+    """
+    seen = daily.filter((F.col("date") >= F.date_sub(today, lookback_days)) & (F.col("date") < today))
+    return (
+        _newest_by_day(stories, seen)
+        .groupBy("canonical_label")
+        .agg(F.max_by("story_id", "last_daily").alias("story_id"), F.max("last_daily").alias("last_daily"))
     )
-    return newest_per_label(stories.select("story_id", "canonical_label").join(seen, "story_id"))
 
 
 def recent_stories_history(
@@ -96,20 +114,22 @@ def recent_stories_history(
 ) -> DataFrame:
     """``recent_stories`` for every run date.
 
-    A story day is the last one seen for the run dates after it up to the story's next day,
-    ``lookback_days`` at most, so every (story, run date) is laid out once.
+    A label's day is its last one for the run dates after it up to the label's next day,
+    ``lookback_days`` at most, so every row laid out is one of the result.
     """
-    days = daily.select("story_id", "date").distinct()
-    following = F.lead("date").over(Window.partitionBy("story_id").orderBy("date"))
-    first, horizon = F.date_add("date", 1), F.date_add("date", lookback_days)
+    following = F.lead("last_daily").over(Window.partitionBy("canonical_label").orderBy("last_daily"))
+    first, horizon = F.date_add("last_daily", 1), F.date_add("last_daily", lookback_days)
     last = F.least(F.coalesce(following, horizon), horizon)
-    seen = days.withColumn("_last", last).select(
-        "story_id",
-        F.explode(F.sequence(first, F.col("_last"))).alias("today"),
-        F.col("date").alias("last_daily"),
+    return (
+        _newest_by_day(stories, daily)
+        .withColumn("_last", last)
+        .select(
+            F.explode(F.sequence(first, F.col("_last"))).alias("today"),
+            "canonical_label",
+            "story_id",
+            "last_daily",
+        )
     )
-    named = seen.join(stories.select("story_id", "canonical_label"), "story_id")
-    return newest_per_label(named, ["today", "canonical_label"])
 
 
 def _memory() -> Column:
