@@ -47,8 +47,11 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     """A bit is one if it is set in over half of the shingles' hashes, repeats included."""
-    hashes = shingle_hashes(text, shingle)
     n = len(hashes)
     if n <= 1:
         return int(hashes[0]) if n else 0

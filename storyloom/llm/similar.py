@@ -1,4 +1,8 @@
-"""Groups of documents whose shingle sets are alike, by an exact prefix-filtered join.
+"""Groups of documents whose shingle sets are alike: SimHash links first, then an exact join.
+
+Fingerprints within a few bits meet in the positional index of ``simhash``; the pairs are
+verified on the texts, and sets that they connect are not compared again. Fingerprints of
+sets that are 0.8 alike differ in more bits, so a prefix-filtered join finds the rest.
 
 Two sets of Jaccard similarity ``least`` or more share at least ``least`` of the larger one,
 so under any one order of all shingles they share one of the first ``n - ceil(least * n) + 1``
@@ -35,7 +39,7 @@ from xxhash import xxh64_intdigest
 
 from storyloom.llm.components import component_roots
 from storyloom.llm.shared import releasing, settle, whole_text
-from storyloom.llm.simhash import HASH_SEED, keep_least, shingle_hashes
+from storyloom.llm.simhash import HASH_SEED, fingerprint_links, fingerprint_of, keep_least, shingle_hashes
 
 # Shingles of more than this share of all sets are heavy: 1 in so many. For the order alone.
 HEAVY = 200
@@ -61,19 +65,21 @@ def _node(found: np.ndarray) -> int:
 
 
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, node, n, key): a row for each document, key null; and heavy ones.
+    """(doc_id, text_hash, node, n, key, fp): a row for each document, key null; and heavy ones.
 
     Rows with a key name a shingle that is heavy in a batch of sets, and n the sets there.
     """
     schema = T.StructType(
-        [docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("text_hash", "node", "n", "key")]]
+        [docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("text_hash", "node", "n", "key", "fp")]]
     )
 
     share, few = HEAVY // 2, HEAVY_LEAST * HEAVY // 2
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle) for x in batch.column("text")]
+            hashes = [shingle_hashes(x.as_py(), shingle) for x in batch.column("text")]
+            fps = np.fromiter(map(fingerprint_of, hashes), np.uint64, len(hashes)).view(np.int64)
+            sets = [np.unique(x) for x in hashes]
             nodes = [_node(s) for s in sets]
             sizes = [len(s) for s in sets]
             distinct = dict(zip(nodes, sets, strict=True)).values()
@@ -82,12 +88,12 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
             keys, counts = keys[heavy].view(np.int64), counts[heavy]
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), none, pa.array(fps)],
                 names=schema.names,
             )
             empty = pa.nulls(len(keys), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(keys), batch.schema.field("doc_id").type), empty, empty, pa.array(counts, pa.int64()), pa.array(keys)],
+                [pa.nulls(len(keys), batch.schema.field("doc_id").type), empty, empty, pa.array(counts, pa.int64()), pa.array(keys), empty],
                 names=schema.names,
             )
 
@@ -335,10 +341,8 @@ def _likely(pairs: DataFrame, lists: DataFrame, least: Fraction) -> DataFrame:
     return shared.where((F.col("c") + rest) * (down + up) >= (F.col("n_a") + F.col("n_b")) * up).select("a", "b")
 
 
-def _apart(lists: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+def _apart(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lists with the root of each node, without those that have one root alone."""
-    if links is None:
-        return lists.withColumn("root", F.col("node")), None
     roots = settle(component_roots(links))
     rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_lists = (
@@ -347,7 +351,21 @@ def _apart(lists: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFr
     return settle(rooted.join(open_lists.select("key"), "key", "left_semi")), roots
 
 
-def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+def _fingerprint_pairs(marked: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b): pairs that connect all sets whose fingerprints are within ``max_bits`` bits."""
+    held = settle(marked.where("key IS NULL").select("fp", "node").distinct())
+    first = settle(held.groupBy("fp").agg(F.min("node").alias("first")))
+    links = fingerprint_links(first, max_bits)
+    ends = links.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
+        first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b"
+    )
+    same = held.join(first, "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return _ordered(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).union(same))
+
+
+def similar_roots(
+    docs: DataFrame, marked: DataFrame, shingle: int, least: Fraction, max_bits: int = 2
+) -> DataFrame:
     """(node, root) of all nodes that similar ones connect."""
     counted = settle(_counted(_postings(docs, _heavy(marked), shingle)))
     lists = settle(_shared_lists(_prefixes(counted, least)))
@@ -360,7 +378,8 @@ def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int, least: Fract
         .select("node", "row.doc_id", "row.text_hash")
     )
     texts = settle(_bytes(docs).join(rows, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("text").alias("text")))
-    links, tried = None, None
+    tried = settle(_fingerprint_pairs(marked, max_bits))
+    links = settle(_verified(tried, texts, shingle, least))
     names = ["a", "b"]
     rooted, roots = _apart(lists, links)
     for number, n_heads in enumerate(HEADS):
@@ -376,10 +395,10 @@ def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int, least: Fract
         heads = heads.select("key", F.explode(F.array_distinct(F.col("head.x"))).alias("x")).select("key", "x.*")
         pairs = _side(rooted, "a").join(_side(heads, "b"), "key").where("root_a <> root_b").where(_possible(least))
         pairs = _ordered(pairs)
-        new = settle(pairs if tried is None else pairs.join(tried, names, "left_anti"))
-        tried = new if tried is None else tried.union(new)
+        new = settle(pairs.join(tried, names, "left_anti"))
+        tried = tried.union(new)
         found = settle(_verified(settle(_likely(new, lists, least)), texts, shingle, least))
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         rooted, roots = _apart(lists, links)
     pairs = _side(rooted, "a").join(_side(rooted, "b"), "key").where("a < b AND root_a <> root_b")
     rest = settle(_ordered(pairs.where(_possible(least))).join(tried, names, "left_anti"))
@@ -389,7 +408,7 @@ def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int, least: Fract
     return component_roots(links.union(settle(_verified(likely, texts, shingle, least))))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: str = "0.8") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: str = "0.8", max_bits: int = 2) -> DataFrame:
     """The rows of ``docs``, one for each group that similarity of ``least`` or more connects.
 
     Which one stays is settled as in ``simhash.keep_one``.
@@ -399,7 +418,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: str = "0.8") -> DataFrame
     placed: list[DataFrame] = []
     with releasing(docs.sparkSession, placed):  # pairs and postings go, the answer stays
         marked = settle(_marked(known, shingle))
-        roots = similar_roots(known, marked, shingle, share)
+        roots = similar_roots(known, marked, shingle, share, max_bits)
         rooted = marked.where("key IS NULL").join(roots, "node", "left")
         placed.append(settle(rooted.select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))))
     return keep_least(docs, placed[0])

@@ -13,6 +13,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from cases import documents, labels, prose, texts  # noqa: E402
 
+import corpus_pipeline  # noqa: E402
+
 from storyloom.llm import components, repeats, similar, simhash, sketches, topk  # noqa: E402
 
 
@@ -91,6 +93,28 @@ def test_similar_texts_are_found_whatever_their_bits(spark, monkeypatch):
     assert similar.keep_one(documents(spark, [])).count() == 0
 
 
+def test_pipeline_stage_meets_fingerprints_in_the_positional_index(spark, monkeypatch):
+    base = prose(21, 400)
+    near = [base[:k] + "zz" + base[k + 2 :] for k in range(40, 1400, 161)]
+    rows = [r for r in texts() if r[0] is not None] + [(50 + i, t) for i, t in enumerate(near)]
+    met, pairs_of = [], similar._fingerprint_pairs
+
+    def watched(marked, max_bits):
+        prints = {r.node: r.fp for r in marked.where("key IS NULL").collect()}
+        met.append((prints, pairs_of(marked, max_bits).collect()))
+        return pairs_of(marked, max_bits)
+
+    monkeypatch.setattr(similar, "_fingerprint_pairs", watched)
+    assert corpus_pipeline.unique(spark, documents(spark, rows), "").count()
+    prints, pairs = met[0]
+    assert {p % 2**64 for p in prints.values()} == {simhash.fingerprint((t or "").encode(), 5) for _, t in rows}
+    nodes = sorted(prints)
+    linked = {(p.a, p.b) for p in pairs}
+    mine = _roots(nodes, lambda a, b: (a, b) in linked or (b, a) in linked)
+    assert mine == _roots(nodes, lambda a, b: ((prints[a] ^ prints[b]) % 2**64).bit_count() <= 2)
+    assert linked
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (3, None), (5, 6)]
     found = components.component_roots(spark.createDataFrame(links, "a bigint, b bigint")).collect()
